@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_benchmark_decontamination
+from .gam import op8_quality_classifier
+from .huffman import op9_token_output
+from .secrets import op3_secret_scan
+from .sentencepiece import op10_sentencepiece
 from .simhash import op4_simhash_near_dedup
 
 QUERIES = {
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op3_secret_scan,
+        op4_simhash_near_dedup,
+        op5_benchmark_decontamination,
+        op8_quality_classifier,
+        op9_token_output,
+        op10_sentencepiece,
+    )
 }
 
 ORACLES: dict[str, str] = {}

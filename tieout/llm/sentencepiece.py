@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
-#: Words that the tasks get ready encoded, at most; about 20 MB.
-DICTIONARY = 1 << 18
+#: Words that the tasks get ready encoded, at most; about 10 MB.
+DICTIONARY = 1 << 17
 #: Longer words are folded where they occur.
 WORD_CHARS = 32
 #: Words that a task remembers beside the dictionary.
@@ -174,19 +174,24 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.groupBy("word").agg(F.collect_list(edge).alias("edges"))
 
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Segment borders of a word after all merges."""
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
 
-    def step(borders, _):
-        def joins(e):
-            inside = F.filter(borders, lambda b: (b > e.s) & (b < e.e))
-            return F.array_contains(borders, e.s) & F.array_contains(borders, e.e) & (F.size(inside) == 1)
+def _merge_fold(edges: Column, n: Column) -> Column:
+    """Segment borders of a word (of at most 62 characters) after all merges; the folded state is a bit a border."""
+    edge = lambda e: F.struct((-e.score).alias("o"), e.s.alias("s"), _bit(e.s).bitwiseOR(_bit(e.e)).alias("ends"), (_bit(e.e) - _bit(e.s + 1)).alias("inner"))
+    ranked = F.array_sort(F.transform(F.filter(edges, lambda e: e.e > e.s + 1), edge))
 
-        best = F.array_min(F.transform(F.filter(edges, joins), lambda e: F.struct((-e.score).alias("o"), e.s.alias("s"), e.e.alias("e"))))
-        return F.when(best.isNull(), borders).otherwise(F.filter(borders, lambda b: (b <= best.s) | (b >= best.e)))
+    def step(state, _):
+        fits = lambda e: (state.borders.bitwiseAND(e.ends) == e.ends) & (F.bit_count(state.borders.bitwiseAND(e.inner)) == 1)
+        best = F.get(F.filter(state.ranked, fits), F.lit(0))
+        borders = F.coalesce(state.borders - state.borders.bitwiseAND(best["inner"]), state.borders)
+        return F.struct(borders.alias("borders"), state.ranked.alias("ranked"))
 
     steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.sequence(F.lit(0), n), step)
+    first = F.struct((_bit(n + 1) - 1).alias("borders"), ranked.alias("ranked"))
+    return F.aggregate(steps, first, step, lambda state: F.filter(F.sequence(F.lit(0), n), lambda b: state.borders.bitwiseAND(_bit(b)) != 0))
 
 
 def _viterbi_fold(edges: Column, n: Column, low: float) -> Column:
