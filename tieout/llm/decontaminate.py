@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -91,8 +91,8 @@ class Items:
 
 def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
     """(item_id, first word, words, similarity) of each item's best window in a text, of ties the first."""
-    get = items.numbers.get
-    ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
+    words = words_of(text)
+    ids = np.fromiter(map(items.numbers.get, words, repeat(0)), np.int64, len(words))
     best: dict[int, tuple[float, int]] = {}
     hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sorted({min(items.size, n) for n in items.by_length}):
@@ -103,7 +103,8 @@ def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> l
         if not run.any():
             continue
         h = _shingles(ids, size)
-        run[run] = np.isin(h[run], items.known[size])
+        some, known = h[run], items.known[size]
+        run[run] = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
         if run.any():
             hits[size] = (h, np.concatenate(([0], np.cumsum(run))))
     for n, members in items.by_length.items():
@@ -112,6 +113,8 @@ def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> l
             continue
         h, held = hits[size]
         m = n - size + 1
+        if held[-1] < similarity * m - 1e-9:
+            continue
         starts = np.flatnonzero(held[m:] - held[:-m] >= np.ceil(similarity * m - 1e-9))
         if not len(starts):
             continue
