@@ -25,8 +25,8 @@ def _map(values: dict) -> Column:
 def parse_date(c: Column) -> Column:
     """FN1 on text: five layouts, then the first ten characters as ISO; NO_DATE where none fits."""
     s = F.trim(c.cast("string"))
-    tries = [F.try_to_date(s, F.lit(f)) for f in ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d MMM yyyy")]
-    return F.coalesce(*tries, F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")), F.lit(NO_DATE).cast("date"))
+    tries = [F.try_to_date(s, f) for f in ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d MMM yyyy")]
+    return F.coalesce(*tries, F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"), F.lit(NO_DATE).cast("date"))
 
 
 def parse_epoch(c: Column) -> Column:

@@ -9,6 +9,7 @@ from tieout.conf import Settings
 from tieout.operators.reference import references_contradict
 from tieout.operators.solver import assign_subsets, unique_links
 from tieout.operators.units import gross_as_of, has, units
+from tieout.tables import cut
 
 #: Minor units of a join bucket of amounts.
 BUCKET = 16
@@ -82,12 +83,12 @@ def relabel(clustered: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_settlements(clustered: DataFrame, settings: Settings = Settings(), subsets: bool = True) -> tuple[DataFrame, DataFrame]:
     """JN5 to JN9: (links (anchor, unit, rule, conf), ambiguous (anchor, unit, rule))."""
-    table = units(clustered).persist()
-    anchors = _anchors(clustered, "settlement", table, "payment", settlement_target()).persist()
+    table = cut(units(clustered), "units")
+    anchors = cut(_anchors(clustered, "settlement", table, "payment", settlement_target()), "anchors")
     free = table.where(has("payment") & ~has("settlement")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", "gross", "base_gross", "events", "pay_dates", "dates")
     pool = free.withColumn("day", F.explode("pay_dates"))
     near = _near(anchors, pool.withColumn("value", F.col("gross")), settings.lag_days, settings.slack)
-    direct = unique_links(near.select("anchor", "unit", (F.col("value") == F.col("target")).alias("exact"))).persist()
+    direct = cut(unique_links(near.select("anchor", "unit", (F.col("value") == F.col("target")).alias("exact"))), "links")
     links = direct.select("anchor", "unit", F.lit("payment-to-settlement@v1").alias("rule"), F.lit(0.98).alias("conf"))
     ambiguous = None
     rest = anchors.join(direct, "anchor", "left_anti")
@@ -101,7 +102,7 @@ def link_settlements(clustered: DataFrame, settings: Settings = Settings(), subs
         same = _exact_as_of(rest, pool, settings)
         pools = pools.join(same.select("anchor").distinct(), "anchor", "left_anti")
         many = same.groupBy("anchor").agg(F.collect_set("unit").alias("units")).where("size(units) > 1").select("anchor", F.explode("units").alias("unit"))
-        found = assign_subsets(pools, settings.split_size, settings.slack, settings.pool, settings.candidates, settings.combinations).persist()
+        found = cut(assign_subsets(pools, settings.split_size, settings.slack, settings.pool, settings.candidates, settings.combinations), "subsets")
         links = links.unionByName(found.where("decided").select("anchor", "unit", F.lit("split-settlement@v1").alias("rule"), F.lit(0.92).alias("conf")))
         ambiguous = many.select("anchor", "unit", F.lit("ambiguous-single@v1").alias("rule")).unionByName(found.where("not decided").select("anchor", "unit", F.lit("ambiguous-split@v1").alias("rule")))
         rest = rest.join(found.where("decided").select("anchor").distinct(), "anchor", "left_anti")
@@ -136,12 +137,12 @@ def late_candidates(anchors: DataFrame, free: DataFrame, settings: Settings = Se
 
 def link_banks(clustered: DataFrame, settings: Settings = Settings(), subsets: bool = True) -> DataFrame:
     """JN10, JN11: (anchor, unit, rule, conf) of positive bank credits and the payouts behind them."""
-    table = units(clustered).persist()
-    anchors = _anchors(clustered.where("source <> 'bank' or amount > 0"), "bank", table, "settlement", F.col("amount")).persist()
+    table = cut(units(clustered), "units")
+    anchors = cut(_anchors(clustered.where("source <> 'bank' or amount > 0"), "bank", table, "settlement", F.col("amount")), "anchors")
     free = table.where(has("settlement") & ~has("bank")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), "refs", "setl_dates", "dates")
     pool = free.withColumn("day", F.explode("setl_dates"))
     near = _near(anchors, pool, 0, 0).where("comp <> unit").where(~references_contradict(F.col("refs"), F.col("reference")))
-    direct = unique_links(near.select("anchor", "unit", F.lit(True).alias("exact"))).persist()
+    direct = cut(unique_links(near.select("anchor", "unit", F.lit(True).alias("exact"))), "links")
     links = direct.select("anchor", "unit", F.lit("bank-to-settlement@v1").alias("rule"), F.lit(0.96).alias("conf"))
     if not subsets:
         return links

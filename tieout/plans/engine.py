@@ -13,6 +13,7 @@ from tieout.functions.scalars import digest16
 from tieout.operators import exceptions as exc
 from tieout.operators import groups as grp
 from tieout.operators import reference, resolver, settlement
+from tieout.tables import cut
 
 
 @dataclass
@@ -60,18 +61,18 @@ def cluster(entries: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
 
 def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool = True, pairing: Callable[[DataFrame], DataFrame] | None = None) -> Result:
     """Run all rules over ``entries``. pairing: a resolver of residual entries, (a_id, b_id, score) as ``greedy_pairs`` gives."""
-    entries = entries.persist()
+    entries = cut(entries, "entries")
     clustered, deductions = cluster(entries, settings)
-    clustered = clustered.drop("prev_id").persist()
+    clustered = cut(clustered.drop("prev_id"), "clustered")
     s_links, ambiguous = settlement.link_settlements(clustered, settings, subsets)
-    s_links = s_links.persist()
-    with_s = settlement.relabel(clustered, s_links).persist()
-    b_links = settlement.link_banks(with_s, settings, subsets).persist()
-    linked = settlement.relabel(with_s, b_links).persist()
-    dups = exc.duplicates_in_groups(linked)
-    kept = linked.join(dups.select("ord"), "ord", "left_anti")
+    s_links = cut(s_links, "payouts")
+    with_s = cut(settlement.relabel(clustered, s_links), "paid")
+    b_links = cut(settlement.link_banks(with_s, settings, subsets), "credits")
+    linked = cut(settlement.relabel(with_s, b_links), "linked")
+    dups = cut(exc.duplicates_in_groups(linked), "duplicates")
+    kept = cut(linked.join(dups.select("ord"), "ord", "left_anti"), "kept")
     single = kept.groupBy("comp").count().where("count = 1").select("comp")
-    residual = kept.join(single, "comp", "left_semi").persist()
+    residual = cut(kept.join(single, "comp", "left_semi"), "residual")
     grouped = kept.join(single, "comp", "left_anti")
     if pairing is None:
         pairs = resolver.greedy_pairs(resolver.score(resolver.candidate_pairs(residual, settings.tolerance, settings.pair_window), settings.tolerance), settings.accept)
@@ -82,17 +83,17 @@ def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool
     head = paired.groupBy("first").agg(F.min("ord").alias("to"))
     paired = paired.join(head, "first").withColumn("comp", F.col("to")).select(grouped.columns)
     left = residual.join(ends.select("id"), "id", "left_anti")
-    final = grouped.unionByName(paired).persist()
+    final = cut(grouped.unionByName(paired), "final")
     raised = exc.classify_residual(left, entries, settings.tolerance)
     dup_rows = dups.join(entries.select("ord", "currency"), "ord").select("id", "source", "amount", "currency", "value_date", "ord", F.lit("duplicate").alias("category"), F.lit(0.9).alias("conf"), F.concat(F.lit("repeats "), F.col("kept_id")).alias("rationale"))
-    raised = raised.unionByName(dup_rows).withColumn("action", exc.action(F.col("category"))).persist()
+    raised = cut(raised.unionByName(dup_rows).withColumn("action", exc.action(F.col("category"))), "raised")
     g = grp.groups(final)
     refused = None
     if ambiguous is not None:
         # a refused unit keeps its component unless a later rule moved it: follow it through its first entry
         refused = ambiguous.select(F.col("unit").alias("ord")).distinct().join(final.select("ord", "comp"), "ord").select("comp")
     g = grp.status(g, entries, refused, settings.lag_days)
-    g = stages(g, s_links, b_links, deductions, pairs, final).persist()
+    g = cut(stages(g, s_links, b_links, deductions, pairs, final), "groups")
     return Result(final.unionByName(left.select(final.columns)).unionByName(linked.join(dups.select("ord"), "ord", "left_semi").select(final.columns)), g, raised, s_links.unionByName(b_links), pairs)
 
 
