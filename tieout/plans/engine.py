@@ -54,8 +54,8 @@ class Result:
 
 def cluster(entries: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(entries with comp after the two reference rules, deduction links)."""
-    first = reference.exact_reference(entries, settings.tolerance)
-    links = reference.deduction_links(first)
+    first = cut(reference.exact_reference(entries, settings.tolerance), "clusters")
+    links = cut(reference.deduction_links(first), "deductions")
     return reference.merge_deductions(first, links), links
 
 
