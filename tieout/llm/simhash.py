@@ -144,7 +144,7 @@ def plan_probes(fps: DataFrame, radius: int = RADIUS) -> list[int]:
             sums[0] = 1
             for b in g:
                 sums[1:] += sums[:-1] / agree[b]
-            costs.append([0.0] + [rows * comb(len(g), t) * PROBE_COST + same.get(i, 0.0) * sums[t] for t in range(radius + 1)])
+            costs.append([0.0] + [max(rows, 1) * comb(len(g), t) * PROBE_COST + same.get(i, 0.0) * sums[t] for t in range(radius + 1)])
             i += 1
         picks = allocate(costs, radius + 1)
         cost = sum(c[t + 1] for c, t in zip(costs, picks))
