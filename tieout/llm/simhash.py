@@ -247,9 +247,9 @@ def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id (of repeated rows of it, one)."""
-    marked = near_duplicates(docs)
-    keep = marked.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    repeats = marked.where("doc_id = component_id or component_id is null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """One row of each component: that of the smallest doc_id, a null only where all are null, and of its rows the first."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    named = rows.select("_row", F.col("doc_id").cast("long").alias("id")).join(marked.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    keep = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least"))
+    return rows.join(keep.select("least._row"), "_row", "left_semi").drop("_row")
