@@ -15,3 +15,55 @@ def test_rows_are_told_apart_by_row_not_by_doc_id(spark):
     rows = [(1, x), (2, x), (2, y), (3, z), (3, w), (None, v), (None, x), (None, " ".join(reversed(y.split())))]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter([rows[0], *rows[2:6], rows[7]])
+
+
+def _brute(rows):
+    """Rows kept: of each component of similarity 0.8 or more the smallest doc_id's first."""
+    words = [(t or "").lower().split() for _, t in rows]
+    grams = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in words]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum((grams[i] & grams[j]).values())
+            if words[i] == words[j] or both and 9 * both >= 4 * (sum(grams[i].values()) + sum(grams[j].values())):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    heads = {}
+    for i in order:
+        heads.setdefault(root[i], i)
+    return Counter(rows[i] for i in heads.values())
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts, boiler = [None, "", "one", "one two", "One  two"], fresh(40)
+    for n in (8, 20, 60, 150, 400):
+        for _ in range(6):
+            base = fresh(n)
+            texts.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+                near = [f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base]
+                texts.append(" ".join(near))
+    texts += [" ".join(boiler + fresh(k)) for k in range(1, 40, 2)]
+    texts += ["a b c d e f g " * k for k in (20, 21, 24, 30, 60)]
+    rng.shuffle(texts)
+    rows = [(rng.randrange(10**4), t) for t in texts]
+    want = _brute(rows)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_large_group_of_near_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in base) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == _brute(rows)
+
+
+def test_no_rows(spark):
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

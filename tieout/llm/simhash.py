@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_run, connected_components, cut, local_roots, longs
+from .common import by_run, connected_components, cut, discard, local_roots, longs
 
 RADIUS = 3
 SHINGLE = 3
@@ -30,6 +30,14 @@ SHINGLE = 3
 TILE = 2048
 #: Cost of shuffling one signature, in comparisons.
 PROBE_COST = 300.0
+#: The pipeline's stage: words of a shingle, and bits within which pairs are compared first.
+COPY_SHINGLE = 5
+COPY_RADIUS = 23
+#: Rounds in which each text is compared with one text of each of its shingles, before all that are left.
+STARS = 2
+#: Documents of the sample that tells common shingles, and how many of these are told.
+SAMPLE = 8192
+COMMON = 100_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -246,10 +254,151 @@ def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def weighted_set(hashes: np.ndarray) -> np.ndarray:
+    """Shingle hashes with repeats, as a sorted set: the k-th occurrence of a shingle has a hash of its own."""
+    h = np.sort(hashes)
+    at = np.arange(len(h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    turn = at - np.maximum.accumulate(np.where(new, at, 0))
+    return np.sort(h + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("_row", F.col("text").cast("string").alias("text"))
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """(_row, id, d1, d2): a 128-bit hash of each text's words."""
+
+    def each(batches):
+        for batch in batches:
+            joined = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) if t else b"" for t in batch.column("text").to_pylist()]
+            d = np.frombuffer(b"".join(map(xxhash.xxh128_digest, joined)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("id"), longs(d[:, 0]), longs(d[:, 1])], ["_row", "id", "d1", "d2"])
+
+    table = rows.select("_row", F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return table.mapInArrow(each, "_row long, id long, d1 long, d2 long")
+
+
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample holds often (sorted), and how often. They only set the order of shingles, thus the cost."""
+
+    def each(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([longs(weighted_set(shingle_hashes(t, COPY_SHINGLE)).view(np.int64))], ["t"])
+
+    share = max(1, docs.count() // SAMPLE)
+    part = _texts(docs).where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0)
+    top = part.mapInArrow(each, "t long").groupBy("t").count().where("count > 2").orderBy(F.desc("count"), "t").limit(COMMON).toPandas()
+    t, n = top["t"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """(_row, n, fp, prefix): size of the shingle set, fingerprint, and the set's first shingles, common ones last.
+
+    Sets of similarity 0.8 share 0.8 of the larger one at least, so they meet in their first
+    n - ceil(0.8 n) + 1 shingles by whatever order all sets follow.
+    """
+    common, often = _common_shingles(docs)
+
+    def each(batches):
+        for batch in batches:
+            sizes, fps, kept = [], [], []
+            for t in batch.column("text").to_pylist():
+                h = shingle_hashes(t, COPY_SHINGLE)
+                s, rank = weighted_set(h), np.zeros(len(h), np.int64)
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rank = np.where(common[at] == s, often[at], 0)
+                first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
+                sizes.append(len(s))
+                fps.append(majority(h))
+                kept.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), flat)
+            fps = longs(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), longs(sizes), fps, lists], ["_row", "n", "fp", "prefix"])
+
+    return _texts(docs).mapInArrow(each, "_row long, n long, fp long, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a similarity of at least 0.8."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [weighted_set(shingle_hashes(t, COPY_SHINGLE)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int64()))], ["_row", "s"])
+
+    def each(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
+                ok[i] = 9 * len(np.intersect1d(u, v, assume_unique=True)) >= 4 * (len(u) + len(v))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    held = cut(_texts(docs).join(named, "_row", "left_semi").mapInArrow(sets, "_row long, s array<long>"), "sets")
+    both = pairs.join(held.select(F.col("_row").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("_row").alias("b"), F.col("s").alias("y")), "b")
+    edges = cut(both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "verified")
+    discard(held)
+    return edges
+
+
+def copy_components(docs: DataFrame) -> DataFrame:
+    """(node, root) for each ``_row`` of ``docs``, distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
+
+    Texts that share a prefix shingle are compared. At first each is compared with one of its
+    shingle's texts only, where fingerprints are within COPY_RADIUS; then with all that lie in
+    other components by then, whatever their fingerprints. So no pair is lost, and a large group
+    of copies has joined up before pairs of it are made.
+    """
+    marked = cut(_prefixes(docs), "prefixes")
+    rows = marked.select("_row", "n", "fp", F.explode("prefix").alias("t"))
+    full = rows.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(rows.join(full, "t"), "buckets")
+    discard(marked)
+    edges, roots = None, None
+    alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    for salt in range(STARS + 1):
+        now = buckets.withColumn("comp", F.col("_row"))
+        if roots is not None:
+            now = buckets.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
+            mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
+            now = now.join(mixed, "t", "left_semi")
+        if salt < STARS:
+            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "comp")).alias("y")).select("t", "y.*")
+            pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike} and bit_count(x.fp ^ y.fp) <= {COPY_RADIUS}")
+        else:
+            tiled = now.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("r", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("blocks")).cast("int"))
+            tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("r", "o"), "j": F.greatest("r", "o")})
+            tiled = tiled.select("t", "i", "j", "r", "_row", "n", "comp")
+            pairs = tiled.alias("x").join(tiled.alias("y"), ["t", "i", "j"]).where(f"x.r = i and y.r = j and (i < j or x._row < y._row) and x.comp <> y.comp and {alike}")
+        pairs = cut(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct(), "pairs")
+        found = _verified(pairs, docs)
+        discard(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        roots = cut(connected_components(edges), "roots")
+    discard(buckets)
+    return roots
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, a null only where all are null, and of its rows the first."""
+    """One row of each group of copies, five-word similarity 0.8 or more: that of the smallest doc_id, a null only where all are null, and of its rows the first.
+
+    Similarity is Jaccard's over shingles with their multiplicity. Texts of the same words are
+    copies, thus all texts without words.
+    """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    named = rows.select("_row", F.col("doc_id").cast("long").alias("id")).join(marked.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
-    keep = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least")
+    firsts = cut(_digests(rows).groupBy("d1", "d2").agg(least).select("least"), "firsts")
+    roots = copy_components(rows.join(firsts.select("least._row"), "_row", "left_semi"))
+    named = firsts.select("least", F.col("least._row").alias("node")).join(roots, "node", "left")
+    keep = named.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return rows.join(keep.select("least._row"), "_row", "left_semi").drop("_row")
