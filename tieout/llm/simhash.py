@@ -297,13 +297,13 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t[order], n[order]
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(_row, n, fp, prefix): size of the shingle set, fingerprint, and the set's first shingles, common ones last.
 
     Sets of similarity 0.8 share 0.8 of the larger one at least, so they meet in their first
     n - ceil(0.8 n) + 1 shingles by whatever order all sets follow.
     """
-    common, often = _common_shingles(docs)
+    common, often = _common_shingles(rows)
 
     def each(batches):
         for batch in batches:
@@ -329,43 +329,43 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a similarity of at least 0.8."""
 
-    def sets(batches):
-        for batch in batches:
-            found = [weighted_set(shingle_hashes(t, COPY_SHINGLE)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int64()))], ["_row", "s"])
-
     def each(batches):
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
+            last, u = None, None
+            for i, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")))):
+                if a != last:
+                    last, u = a, weighted_set(shingle_hashes(x, COPY_SHINGLE))
+                v = weighted_set(shingle_hashes(y, COPY_SHINGLE))
                 ok[i] = 9 * len(np.intersect1d(u, v, assume_unique=True)) >= 4 * (len(u) + len(v))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    held = cut(_texts(docs).join(named, "_row", "left_semi").mapInArrow(sets, "_row long, s array<long>"), "sets")
-    both = pairs.join(held.select(F.col("_row").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("_row").alias("b"), F.col("s").alias("y")), "b")
+    held = cut(_texts(docs).join(named, "_row", "left_semi"), "texts")
+    both = pairs.join(held.select(F.col("_row").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("_row").alias("b"), F.col("text").alias("y")), "b")
     edges = cut(both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), "verified")
     discard(held)
     return edges
 
 
-def copy_components(docs: DataFrame) -> DataFrame:
-    """(node, root) for each ``_row`` of ``docs``, distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
+def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) for each ``_row`` of ``docs``, those of ``rows`` with distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
 
     Texts that share a prefix shingle are compared. At first each is compared with one of its
     shingle's texts only, where fingerprints are within COPY_RADIUS; then with all that lie in
     other components by then, whatever their fingerprints. So no pair is lost, and a large group
     of copies has joined up before pairs of it are made.
     """
-    marked = cut(_prefixes(docs), "prefixes")
-    rows = marked.select("_row", "n", "fp", F.explode("prefix").alias("t"))
-    full = rows.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(rows.join(full, "t"), "buckets")
+    marked = cut(_prefixes(docs, rows), "prefixes")
+    probes = marked.select("_row", "n", "fp", F.posexplode("prefix").alias("pos", "t"))
+    full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(probes.join(full, "t"), "buckets")
     discard(marked)
+    del probes, full, marked, docs
+    rows.sparkSession._jvm.System.gc()
     edges, roots = None, None
-    alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    # a pair's first common shingle leaves as many in both sets, itself included, as the overlap of similarity 0.8
+    alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
     for salt in range(STARS + 1):
         now = buckets.withColumn("comp", F.col("_row"))
         if roots is not None:
@@ -373,18 +373,19 @@ def copy_components(docs: DataFrame) -> DataFrame:
             mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
             now = now.join(mixed, "t", "left_semi")
         if salt < STARS:
-            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "comp")).alias("y")).select("t", "y.*")
+            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
             pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike} and bit_count(x.fp ^ y.fp) <= {COPY_RADIUS}")
         else:
             tiled = now.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("r", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("blocks")).cast("int"))
             tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("r", "o"), "j": F.greatest("r", "o")})
-            tiled = tiled.select("t", "i", "j", "r", "_row", "n", "comp")
+            tiled = tiled.select("t", "i", "j", "r", "_row", "n", "pos", "comp")
             pairs = tiled.alias("x").join(tiled.alias("y"), ["t", "i", "j"]).where(f"x.r = i and y.r = j and (i < j or x._row < y._row) and x.comp <> y.comp and {alike}")
         pairs = cut(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct(), "pairs")
-        found = _verified(pairs, docs)
+        found = _verified(pairs, rows)
         discard(pairs)
         edges = found if edges is None else edges.unionByName(found)
         roots = cut(connected_components(edges), "roots")
+        rows.sparkSession._jvm.System.gc()  # Spark then deletes shuffle files that no plan uses
     discard(buckets)
     return roots
 
@@ -398,7 +399,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least")
     firsts = cut(_digests(rows).groupBy("d1", "d2").agg(least).select("least"), "firsts")
-    roots = copy_components(rows.join(firsts.select("least._row"), "_row", "left_semi"))
+    roots = copy_components(rows.join(firsts.select("least._row"), "_row", "left_semi"), rows)
     named = firsts.select("least", F.col("least._row").alias("node")).join(roots, "node", "left")
     keep = named.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return rows.join(keep.select("least._row"), "_row", "left_semi").drop("_row")
