@@ -163,18 +163,49 @@ def test_suffix_dedup(spark, odd):
     assert suffixes.remove_repeats(odd).count() == len(ODD) and suffixes.remove_repeats(odd.limit(0)).count() == 0
 
 
+def planted_vectors(n, seed=5, d=64):
+    """Unit vectors: some with a partner at a cosine of 0.9 to 0.999, an eighth of them one near-equal group, the rest alone."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, d))
+    k = n // 10
+    x = v[:k] / np.linalg.norm(v[:k], axis=1, keepdims=True)
+    y = rng.normal(size=(k, d))
+    y -= (y * x).sum(1, keepdims=True) * x
+    c = rng.uniform(0.9, 0.999, (k, 1))
+    v[k : 2 * k] = c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    v[-(n // 8) :] = rng.normal(size=d) + rng.normal(size=(n // 8, d)) * 0.12
+    return (v / np.linalg.norm(v, axis=1, keepdims=True))[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("n", [90, 5000, 20000])
+def test_graph_recall_of_links_to_others(n):
+    u = planted_vectors(n)
+    ids, one = np.arange(n) * 3 + 1, np.ones(n, np.int64)
+    true = np.concatenate([(u[i : i + 500] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 500)])
+    found = hnsw.links_of(hnsw.Graph(u), u, ids, one, u, ids).linked
+    few = true <= 20  # planted pairs by themselves, which a large group would outweigh
+    print("recall", n, found.sum() / true.sum(), found[few].sum() / true[few].sum())
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and found[few].sum() >= 0.98 * true[few].sum()
+
+
 def test_embeddings(spark):
-    got = {r.vec_id: r for r in hnsw.op7_embedding_near_dedup(spark, SF).collect()}
-    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
-    sound = [(r["vec_id"], np.array(r["embedding"], float)) for r in rows if r["embedding"] and None not in r["embedding"]]
-    sound = [(i, v / np.linalg.norm(v)) for i, v in sound if np.isfinite(v).all() and v.any()]
-    links = [(a, b) for k, (a, v) in enumerate(sound) for b, w in sound[:k] if v @ w >= 0.9]
+    u = planted_vectors(2400)
+    u[7], u[8], u[9] = u[5], u[5] * 3, u[6]
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(u)]
+    wide = spark.createDataFrame([*rows, (-5, [1.0, 0.0], 1, "x"), (-4, [1.0, 0.1], 1, "x")], "vec_id long, embedding array<double>, node long, key string")
+    got = {r.vec_id: r for r in hnsw.near_vectors(wide).collect()}
+    s = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = s @ s.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near)))] + [(-5, -4)]
     n = Counter(x for p in links for x in p)
-    assert sum(r.n_links for r in got.values()) >= 0.9 * 2 * len(links) and all(r.n_links <= n[i] for i, r in got.items())
-    root = roots(links, [r["vec_id"] for r in rows])
-    assert {i: r.component_id for i, r in got.items()} == root
+    assert len(got) == len(rows) + 2 and sum(r.n_links for r in got.values()) >= 0.99 * 2 * len(links) and all(r.n_links <= n[i] for i, r in got.items())
+    root = roots(links, list(got))
+    assert np.mean([r.component_id == root[i] for i, r in got.items()]) >= 0.99 and all(r.kept == (i == r.component_id) for i, r in got.items())
     bad = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert {r.vec_id: r.n_links for r in hnsw.near_vectors(bad).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, None: 0}
+    assert hnsw.near_vectors(bad.limit(0)).count() == 0
+    assert hnsw.op7_embedding_near_dedup(spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
 def test_quality(spark, odd):

@@ -2,10 +2,11 @@
 
 Equal vectors become one node with a weight. Nodes are dealt to shards by hash, a graph is built in
 each, and every node queries every shard, many queries in step. A beam that comes back full of links is
-widened, and the widened beams of a task are audited: for ``AUDIT`` of its queries the links found are
-held against all vectors of the shard, and the beams double until at least ``RECALL`` of them are
-found. Links are verified in double precision; a task gives counts and the edges of a spanning
-forest, never all pairs, and components are joined by Spark.
+widened, up to one as wide as the shard, which is a look at all its vectors. A task's beams are
+audited: for ``AUDIT`` of its queries the links to others are held against all vectors of the shard,
+and the task starts again with twice the beam until at least ``RECALL`` of them are found. Links are
+verified in double precision and folded slice by slice into counts and a spanning forest, so that
+memory follows vectors, not pairs; components are joined by Spark.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components links with
 nothing, nor does one without vec_id, nor vectors of different lengths with each other; every row
@@ -15,20 +16,23 @@ keeps a row; repeated vec_ids with one vector count as copies; an empty table gi
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_roots, longs
+from .common import connected_components, cut, discard, longs
 
 SIMILARITY = 0.9
-#: Nodes of a shard at most, and shards at least, so that small tables still use several tasks.
-SHARD_NODES, SHARDS = 100_000, 6
+#: Nodes and bytes of vectors of a shard at most, and shards at least, so that small tables still use several tasks.
+SHARD_NODES, SHARD_BYTES, SHARDS = 100_000, 96 << 20, 6
 QUERY_NODES = 32_768
+#: Similarities that a task holds at once.
+CELLS = 4 << 20
 DEGREE, BUILD_BEAM, BEAM = 12, 40, 24
-AUDIT, RECALL = 48, 0.99
+AUDIT, RECALL = 256, 0.99
 
 
 class Graph:
@@ -126,7 +130,7 @@ class Graph:
             while len(moving):
                 near = self.layers[k][at[moving]].astype(np.int64)
                 sim = np.einsum("bmd,bd->bm", self.v[np.maximum(near, 0)], q[moving])
-                sim[near < 0] = -9
+                sim[(near < 0) | (near >= n)] = -9  # a layer that is being built doesn't hold all of those above yet
                 best = sim.argmax(axis=1)
                 value = sim[np.arange(len(moving)), best]
                 up = value > top[moving]
@@ -166,41 +170,80 @@ class Graph:
         return ids, sims
 
 
-def _brute(v: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(q), 256):
-        x, y = np.nonzero(q[i : i + 256] @ v.T >= least)
-        a.append(x + i)
-        b.append(y)
-    return np.concatenate(a), np.concatenate(b)
+class Links:
+    """What the links of one task come to: each query's weight of linked others, and a spanning forest of shard and queries."""
 
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, asked: np.ndarray):
+        self.weight = weight
+        self.names, at = np.unique(np.concatenate((ids, asked)), return_inverse=True)
+        self.v_at, self.q_at = at[: len(ids)], at[len(ids) :]
+        self.root = np.arange(len(self.names))
+        self.linked = np.zeros(len(asked), np.int64)
 
-def links_of(graph: Graph, v: np.ndarray, q: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place in v) of the links found; v and q hold unit vectors in double precision."""
-    n, loose = len(v), np.float32(least - 1e-4)
-    qf = q.astype(np.float32)
+    def add(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Take in links of queries to places in the shard; how many of them go to others, by query."""
+        other = self.q_at[q] != self.v_at[v]
+        q, v = q[other], v[other]
+        np.add.at(self.linked, q, self.weight[v])
+        a, b = self.q_at[q], self.v_at[v]
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+        return q
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.names[child], self.names[self.root[child]]
+
+
+def _all_of(v: np.ndarray, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, place) of all vectors at ``least`` or more, some queries at a time."""
+    step = max(1, CELLS // max(len(v), 1))
+    for i in range(0, len(q), step):
+        x, y = np.nonzero(q[i : i + step] @ v.T >= least)
+        yield x + i, y
+
+
+def _found(graph: Graph, v: np.ndarray, q: np.ndarray, beam: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, place) of the links that beams find, where a beam is full of links one four times as wide, then one as wide as the shard."""
+    n, loose, qf = len(v), np.float32(least - 1e-4), q.astype(np.float32)
+    rest, width = np.arange(len(q)), min(beam, n)
+    while len(rest):
+        if width == n and n > BEAM:  # as wide as the shard
+            for x, y in _all_of(v, q[rest], least):
+                yield rest[x], y
+            return
+        step, full = max(1, CELLS // (width * 16)), []
+        for i in range(0, len(rest), step):
+            some = rest[i : i + step]
+            ids, sims = graph._search(qf[some], width)
+            more = (sims.min(axis=1) >= loose) & (width < n)
+            x, y = np.nonzero((sims >= loose) & ~more[:, None])
+            x, y = some[x], graph.order[ids[x, y]]
+            good = np.einsum("ed,ed->e", q[x], v[y]) >= least
+            yield x[good], y[good]
+            full.append(some[more])
+        rest, width = np.concatenate(full), 4 * beam if width == beam and 16 * beam <= n else n
+
+
+def links_of(graph: Graph, v: np.ndarray, ids: np.ndarray, weight: np.ndarray, q: np.ndarray, asked: np.ndarray, least: float = SIMILARITY) -> Links:
+    """Links of queries (unit vectors ``q`` of nodes ``asked``) to a shard's (``v`` of nodes ``ids``)."""
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = len(_brute(v, q[audit], least)[0])
+    truth = Links(ids, weight, asked[audit])
+    there = sum(len(truth.add(x, y)) for x, y in _all_of(v, q[audit], least))
     beam = BEAM
     while True:
-        found_q, found_v, rest, width = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(q)), beam
-        while len(rest):
-            if width * 4 > n:  # so wide a beam costs more than looking at every vector of the shard
-                x, y = _brute(v, q[rest], least)
-                found_q.append(rest[x])
-                found_v.append(y)
-                break
-            ids, sims = graph._search(qf[rest], width)
-            full = sims.min(axis=1) >= loose
-            x, y = np.nonzero((sims >= loose) & ~full[:, None])
-            x, y = rest[x], graph.order[ids[x, y]]
-            good = np.einsum("ed,ed->e", q[x], v[y]) >= least
-            found_q.append(x[good])
-            found_v.append(y[good])
-            rest, width = rest[full], width * 4
-        x, y = np.concatenate(found_q), np.concatenate(found_v)
-        if beam * 4 > n or np.isin(x, audit).sum() >= RECALL * truth:
-            return x, y
+        out, met = Links(ids, weight, asked), 0
+        for x, y in _found(graph, v, q, beam, least):
+            met += int(np.isin(out.add(x, y), audit).sum())
+        if met >= RECALL * there or beam >= len(v):
+            return out
         beam *= 2
 
 
@@ -221,7 +264,9 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("v").alias("v"))
     nodes = cut(nodes, "nodes")
     total = nodes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_NODES)), max(1, -(-total // QUERY_NODES))
+    widest = nodes.agg(F.max(F.size("v"))).first()[0] or 1
+    per_shard = max(1, min(SHARD_NODES, SHARD_BYTES // (8 * widest)))
+    shards, blocks = max(SHARDS, -(-total // per_shard)), max(1, -(-total // QUERY_NODES))
     dealt = nodes.select("node", "weight", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
@@ -239,17 +284,11 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if graph.num_rows and asked.num_rows:
             small_world, v, ids, weight = pickle.loads(graph.column("graph")[0].as_py())
             me = asked.column("node").to_numpy()
-            x, y = links_of(small_world, v, _unit(asked.column("v")), least)
-            other = ids[y] != me[x]
-            x, y = x[other], y[other]
-            count = np.bincount(x, weights=weight[y], minlength=len(me)).astype(np.int64)
-            some = np.flatnonzero(count)
-            names, at = np.unique(np.concatenate((me[x], ids[y])), return_inverse=True)
-            root = local_roots(at[: len(x)], at[len(x) :], len(names))
-            child = np.flatnonzero(root != np.arange(len(names)))
-            a = np.concatenate((me[some], names[child]))
-            b = np.concatenate((me[some], names[root[child]]))
-            w = np.concatenate((count[some], np.zeros(len(child), np.int64)))
+            found = links_of(small_world, v, ids, weight, _unit(asked.column("v")), me, least)
+            some = np.flatnonzero(found.linked)
+            child, root = found.forest()
+            a, b = np.concatenate((me[some], child)), np.concatenate((me[some], root))
+            w = np.concatenate((found.linked[some], np.zeros(len(child), np.int64)))
         return pa.table({"a": longs(a), "b": longs(b), "w": longs(w)})
 
     keys = ["dim", "shard", "block"]
