@@ -1,11 +1,17 @@
 """Hand-made batches through the whole engine, and the parts that need no tables."""
 
 import datetime as dt
+import itertools
+import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tieout.conf import Settings
-from tieout.operators.solver import _sweep, subset_options
+from tieout.functions import fees
+from tieout.operators.settlement import link_settlements
+from tieout.operators.solver import _sweep, propagate, subset_options
 from tieout.operators.worklist import Worklist
 from tieout.plans.engine import reconcile
 from tieout.schema import ENTRY, as_entries
@@ -80,3 +86,47 @@ def test_worklist_carries_on(spark, tmp_path):
     seen = {r.entry_id: (r.status, r.times_seen) for r in work.items().collect()}
     assert seen == {"rf_9": ("open", 2), "bnk_7": ("open", 2)}
     assert {r.event for r in work.history().collect()} == {"created", "status", "reopened"}
+
+
+def test_subsets_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        pool = [(i, rng.randint(1, 40) * 5, rng.sample([1, 2, 3], rng.randint(1, 2))) for i in range(rng.randint(2, 12))]
+        target = rng.randint(20, 300)
+        sets = [c for k in range(2, 6) for c in itertools.combinations(pool, k) if set.intersection(*(set(u[2]) for u in c))]
+        of = lambda off: {frozenset(u[0] for u in c) for c in sets if abs(sum(u[1] for u in c) - target) <= off}
+        got = subset_options(pool, target, 5, 2, 60, 10**9, 10**9)
+        assert set(map(frozenset, got)) == (of(0) or of(2)) and len(got) == len(of(0) or of(2))
+    assert len(subset_options([(i, 100, [1]) for i in range(60)], 300, 6)) == 8
+
+
+def test_propagation_against_passes_in_order():
+    rng = random.Random(5)
+    for _ in range(1000):
+        options = {a: list({tuple(sorted(rng.sample(range(12), 2))): 0 for _ in range(rng.randint(1, 3))}) for a in range(6)}
+        chosen, taken, again = {}, set(), True
+        while again:
+            again = False
+            for a in sorted(options.keys() - chosen.keys()):
+                open_ = [o for o in options[a] if taken.isdisjoint(o)]
+                if len(open_) == 1:
+                    chosen[a], again = open_[0], True
+                    taken.update(open_[0])
+        assert propagate(options)[0] == chosen
+
+
+def test_many_alike_are_refused_without_pairs(spark):
+    n = 20_000
+    sales = spark.range(n).selectExpr("concat('p', id) id", "'payment' source", "50000L amount", "date'2026-01-01' value_date", "concat('O', id) reference", "id ord")
+    paid = spark.range(n).selectExpr("concat('s', id) id", "'settlement' source", "50000L amount", "date'2026-01-03' value_date", "concat('U', id) reference", f"id + {n} ord")
+    batch = as_entries(sales.unionByName(paid).withColumns({"currency": F.lit("INR"), "fee": F.lit(0), "tax": F.lit(0)}))
+    links, _ = link_settlements(batch.withColumn("comp", F.col("ord")).withColumn("ref", F.col("reference")), subsets=False)
+    assert links.where("rule = 'payment-to-settlement@v1'").count() == 0
+
+
+def test_rate_card_override(spark, tmp_path):
+    (tmp_path / "card.json").write_text(json.dumps({"rules": {"Card": {"fixed_minor": 300}, "upi": {"percent_bps": "x"}, "voucher": {"percent_bps": 50}}}))
+    card = {r.method: tuple(r)[1:4] for r in fees.rate_card(spark, str(tmp_path / "card.json")).collect()}
+    assert card["card"] == (200, 300, 1800) and card["upi"] == (0, 0, 1800) and card["voucher"] == (50, 0, 1800)
+    (tmp_path / "bad.json").write_text("no json")
+    assert fees.rate_card(spark, str(tmp_path / "bad.json")).collect() == fees.rate_card(spark).collect()

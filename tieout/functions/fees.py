@@ -22,14 +22,26 @@ CARD = [
 
 
 def rate_card(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """FN17: the card, a JSON file's rules over the defaults; a file that can't be used leaves the defaults."""
-    rules = {r[0]: r for r in CARD}
+    """FN17: the card with a JSON file's rules over it; absent fields are those of the card's rule for that method
+    (0, 0 and 18 % for a new method), an absent label is the method's name.
+
+    A rule that can't be read leaves the card's; so does a file that isn't JSON.
+    """
+    fields = ("percent_bps", "fixed_minor", "tax_bps", "label")
+    rules = {r[0]: dict(zip(fields, r[1:])) for r in CARD}
     if path:
         try:
-            given = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))["rules"]  # a card is a few lines
-            rules |= {m: (m, int(r.get("percent_bps", 0)), int(r.get("fixed_minor", 0)), int(r.get("tax_bps", 1800)), str(r.get("label", m))) for m, r in given.items()}
+            given = json.loads("\n".join(r[0] for r in spark.read.text(path).collect())).get("rules", {})  # a card is a few lines
         except Exception:
-            rules = {r[0]: r for r in CARD}
+            given = {}
+        for name, rule in given.items() if isinstance(given, dict) else ():
+            method = name.strip().lower()
+            base = {**rules.get(method, {"percent_bps": 0, "fixed_minor": 0, "tax_bps": 1800}), "label": name}
+            try:
+                rules[method] = {f: (str if f == "label" else int)(rule.get(f, base[f])) for f in fields}
+            except (AttributeError, TypeError, ValueError):
+                continue
+    rules = {m: (m, *(r[f] for f in fields)) for m, r in rules.items()}
     return spark.createDataFrame(list(rules.values()), "method string, percent_bps long, fixed_minor long, tax_bps long, label string")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tieout.conf import Settings
 from tieout.operators.reference import references_contradict
-from tieout.operators.solver import assign_subsets, unique_links
+from tieout.operators.solver import assign_subsets, one_of_alike, unique_links
 from tieout.operators.units import gross_as_of, has, units
 from tieout.tables import cut
 
@@ -87,8 +87,9 @@ def link_settlements(clustered: DataFrame, settings: Settings = Settings(), subs
     anchors = cut(_anchors(clustered, "settlement", table, "payment", settlement_target()), "anchors")
     free = table.where(has("payment") & ~has("settlement")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", "gross", "base_gross", "events", "pay_dates", "dates")
     pool = free.withColumn("day", F.explode("pay_dates"))
-    near = _near(anchors, pool.withColumn("value", F.col("gross")), settings.lag_days, settings.slack)
-    direct = cut(unique_links(near.select("anchor", "unit", (F.col("value") == F.col("target")).alias("exact"))), "links")
+    sales = one_of_alike(free.select("unit", "currency", "pay_dates", F.col("gross").alias("value")), ["currency", "pay_dates", "value"])
+    near = _near(anchors.select("anchor", "currency", "value_date", "target"), sales.withColumn("day", F.explode("pay_dates")), settings.lag_days, settings.slack)
+    direct = cut(unique_links(near.select("anchor", "unit", (F.col("value") == F.col("target")).alias("exact"), "crowd")), "links")
     links = direct.select("anchor", "unit", F.lit("payment-to-settlement@v1").alias("rule"), F.lit(0.98).alias("conf"))
     ambiguous = None
     rest = anchors.join(direct, "anchor", "left_anti")
@@ -129,20 +130,28 @@ def _exact_as_of(anchors: DataFrame, pool: DataFrame, settings: Settings) -> Dat
 
 def late_candidates(anchors: DataFrame, free: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """JN9: as-of join of payouts to units paid up to ``max_payout_lag_days`` before, exact amounts only."""
-    rows = _as_of_rows(free).withColumn("last_pay", F.array_max("pay_dates")).withColumnRenamed("value", "target")
-    pairs = anchors.join(rows, ["currency", "target"]).where("value_date >= valid_from and (valid_to is null or value_date < valid_to)")
+    # days in stretches of the longest lag: a sale lies in the payout's stretch or the one before it
+    stretch = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / settings.max_payout_lag_days)
+    sales = free.select("unit", "currency", "base_gross", F.array_sort("events").alias("events"), F.array_max("pay_dates").alias("last_pay"))
+    rows = _as_of_rows(one_of_alike(sales, ["currency", "base_gross", "events", "last_pay"])).withColumnRenamed("value", "target")
+    rows = rows.withColumn("stretch", stretch(F.col("last_pay")))
+    sought = anchors.select("anchor", "currency", "target", "value_date", F.explode(F.array(stretch(F.col("value_date")), stretch(F.col("value_date")) - 1)).alias("stretch"))
+    pairs = sought.join(rows, ["currency", "target", "stretch"]).where("value_date >= valid_from and (valid_to is null or value_date < valid_to)")
     pairs = pairs.where((F.col("last_pay") <= F.col("value_date")) & (F.datediff("value_date", "last_pay") <= settings.max_payout_lag_days))
-    return pairs.select("anchor", "unit", F.lit(True).alias("exact")).distinct()
+    return pairs.select("anchor", "unit", F.lit(True).alias("exact"), "crowd").distinct()
 
 
 def link_banks(clustered: DataFrame, settings: Settings = Settings(), subsets: bool = True) -> DataFrame:
     """JN10, JN11: (anchor, unit, rule, conf) of positive bank credits and the payouts behind them."""
     table = cut(units(clustered), "units")
     anchors = cut(_anchors(clustered.where("source <> 'bank' or amount > 0"), "bank", table, "settlement", F.col("amount")), "anchors")
-    free = table.where(has("settlement") & ~has("bank")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), "refs", "setl_dates", "dates")
+    free = table.where(has("settlement") & ~has("bank")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), F.array_sort("refs").alias("refs"), "setl_dates", "dates")
     pool = free.withColumn("day", F.explode("setl_dates"))
-    near = _near(anchors, pool, 0, 0).where("comp <> unit").where(~references_contradict(F.col("refs"), F.col("reference")))
-    direct = cut(unique_links(near.select("anchor", "unit", F.lit(True).alias("exact"))), "links")
+    # an anchor lacks a payout and a unit has one, so no unit is an anchor's own component
+    payouts = one_of_alike(free.select("unit", "currency", "value", "setl_dates", "refs"), ["currency", "value", "setl_dates", "refs"])
+    near = _near(anchors.select("anchor", "currency", "value_date", "target", "reference"), payouts.withColumn("day", F.explode("setl_dates")), 0, 0)
+    near = near.where(~references_contradict(F.col("refs"), F.col("reference")))
+    direct = cut(unique_links(near.select("anchor", "unit", F.lit(True).alias("exact"), "crowd")), "links")
     links = direct.select("anchor", "unit", F.lit("bank-to-settlement@v1").alias("rule"), F.lit(0.96).alias("conf"))
     if not subsets:
         return links

@@ -358,8 +358,7 @@ def late_payout_asof(spark, sf):
     return links.where("rule = 'late-payout@v1'").select((F.col("anchor") % SPAN).alias("k"), (F.col("unit") % SPAN).alias("unit"))
 
 
-_DAY = "CAST(DATE '2000-01-01' + CAST(b % 3000 AS INT) * 5 AS DATE)"
-_SETS = f""", p AS (SELECT k, k // 3 b, g, cur FROM base WHERE k // 3 < 3000), days AS (SELECT b, count(*) n, CAST(sum(g) AS BIGINT) total FROM p GROUP BY b),
+_SETS = f""", p AS (SELECT k, k // 3 b, g, cur FROM base), days AS (SELECT b, count(*) n, CAST(sum(g) AS BIGINT) total FROM p GROUP BY b),
     subsets AS (SELECT b, [k] ks, CAST(g AS BIGINT) s FROM p UNION ALL SELECT x.b, [x.k, y.k], x.g + y.g FROM p x JOIN p y ON x.b = y.b AND x.k < y.k UNION ALL SELECT x.b, [x.k, y.k, z.k], x.g + y.g + z.g FROM p x JOIN p y ON x.b = y.b AND x.k < y.k JOIN p z ON y.b = z.b AND y.k < z.k),
     hits AS (SELECT d.b, ks FROM days d JOIN subsets s ON s.b = d.b AND s.s = d.total AND len(ks) > 1 QUALIFY count(*) OVER (PARTITION BY d.b) = 1)"""
 
@@ -367,8 +366,9 @@ _SETS = f""", p AS (SELECT k, k // 3 b, g, cur FROM base WHERE k // 3 < 3000), d
 def _sets(spark, sf, size: int, settled: bool):
     """Sales of ``size`` orders a batch, five days apart, and one entry that pays a whole batch."""
     b = F.call_function("div", _k(), F.lit(size))
-    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("b") * 5).cast("int"))
-    rows = _base(spark, sf).select("k", b.alias("b"), "g").where(F.col("b") < 3000).withColumn("value_date", day).withColumn("currency", F.lit("INR"))
+    # every batch has days of its own in its currency
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("b") % 100_000 * 5).cast("int"))
+    rows = _base(spark, sf).select("k", b.alias("b"), "g").withColumn("value_date", day).withColumn("currency", F.concat(F.lit("C"), F.call_function("div", F.col("b"), F.lit(100_000)).cast("string")))
     leaf, top = ("settlement", "bank") if settled else ("payment", "settlement")
     parts = rows.select(F.concat(F.lit("part_"), _text()).alias("id"), F.lit(leaf).alias("source"), F.col("g").alias("amount"), "value_date", "currency", F.concat(F.lit("P"), _text()).alias("reference"), _k().alias("ord"))
     whole = rows.groupBy("b", "value_date", "currency").agg(F.sum("g").alias("amount"))
@@ -407,14 +407,15 @@ def connected_components(spark, sf):
 
 # ---- residual -------------------------------------------------------------------------------------
 
-_RESIDUAL = """, x AS (SELECT 'b' || k id, 'bank' source, g amount, CAST(d + CAST(k % 5 AS INT) AS DATE) value_date, cur currency, 'transfer cust ' || (k % 97) AS narration, k + 20000000000000 ord FROM base WHERE k % 4 = 0
-      UNION ALL SELECT 'l' || k, 'ledger', g + (k % 3) * 50, d, cur, 'cust ' || (k % 97), k + 30000000000000 FROM base WHERE k % 4 = 0),
+_RESIDUAL = """, x AS (SELECT 'b' || k id, 'bank' source, g amount, CAST(d + CAST(k % 5 AS INT) AS DATE) value_date, cur || (k // 500) AS currency, 'transfer cust ' || (k % 97) AS narration, k + 20000000000000 ord FROM base
+      UNION ALL SELECT 'l' || k, 'ledger', g + (k % 3) * 50, d, cur || (k // 500), 'cust ' || (k % 97), k + 30000000000000 FROM base),
     z AS (SELECT a.id a_id, b.id b_id, a.source a_source, b.source b_source, a.amount a_amount, b.amount b_amount, a.narration an, b.narration bn, a.value_date ad, b.value_date bd, count(*) OVER (PARTITION BY a.id) n
       FROM x a JOIN x b ON a.currency = b.currency AND b.amount <= a.amount + greatest(2000, abs(a.amount) * 3 // 100) AND b.amount >= a.amount AND (b.amount > a.amount OR b.ord > a.ord))"""
 
 
 def _residual(spark, sf):
-    b = _base(spark, sf).where("k % 4 = 0")
+    # currencies of 500 orders, so that amounts lie as far apart in a large table as in a small one
+    b = _base(spark, sf).withColumn("cur", F.concat("cur", F.call_function("div", _k(), F.lit(500)).cast("string")))
     customer = F.concat(F.lit("cust "), (_k() % 97).cast("string"))
     bank = b.select(F.concat(F.lit("b"), _text()).alias("id"), F.lit("bank").alias("source"), F.col("g").alias("amount"), F.date_add("d", (_k() % 5).cast("int")).alias("value_date"), F.col("cur").alias("currency"), F.concat(F.lit("transfer "), customer).alias("narration"), (_k() + 2 * SPAN).alias("ord"))
     ledger = b.select(F.concat(F.lit("l"), _text()).alias("id"), F.lit("ledger").alias("source"), (F.col("g") + _k() % 3 * 50).alias("amount"), F.col("d").alias("value_date"), F.col("cur").alias("currency"), customer.alias("narration"), (_k() + 3 * SPAN).alias("ord"))
