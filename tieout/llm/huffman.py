@@ -13,9 +13,12 @@ A single distinct id gets a code of one bit.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
-import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +34,106 @@ MAX_BITS = 20
 STEP = 256
 #: Tokens after which a block is closed, at the next document's end.
 BLOCK = 1 << 18
-#: Words that a task remembers encoded.
+#: Words that a task remembers encoded: those met last, in two generations of this size (some 110 MB each at most).
 MEMO = 600_000
+#: Characters of words that enter the memory.
+MEMO_CHARS = 64
+#: Documents that a task holds encoded at once.
+SLICE = 256
 
-_SPLITS_AT_SPACE = re.compile(r"\s \s|\s \Z|[\x1c-\x1f\x85᠎​﻿]")
+_SPLITS_AT_SPACE = re.compile(r"\s \s|\s \Z")
+_ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: What every text has that _SPLITS_AT_SPACE finds something in.
+_NEAR_SPACES = ("  ", " \n", " \t", " \r", " \v", " \f")
+#: The ByteLevel pre-tokenizer's pattern (fixed value), and the same for ASCII.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ASCII_PIECES = re.compile(_PIECES.replace("\\p{L}", "A-Za-z").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace("\\p{N}", "0-9").replace(" ?0-9+", " ?[0-9]+"), re.A)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character by which a ByteLevel tokenizer writes each byte: visible Latin-1 as it is, the rest from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in shown else chr(next(others)) for b in range(256)}
 
 
 class Encoder:
-    """``Tokenizer.encode_batch`` with the pieces between spaces remembered.
+    """The ids that ``Tokenizer.encode_batch`` gives, with the words between spaces remembered.
 
-    The tokenizer's pre-tokens never reach over a space that follows a non-space, so the ids of a text
-    are those of its pieces, each with the space before it. Texts where that rule doesn't hold as it
-    stands (runs of spaces, control characters that count as spaces) are encoded whole.
+    For a byte-level tokenizer (its pre-tokens never reach over a space that follows a non-space) the
+    ids of a text are those of its words, each with the space before it, and a word's are those that
+    the tokenizer's model gives for its pre-tokens. Texts where that rule doesn't hold as it stands
+    (runs of spaces, characters that count as spaces, strings of added tokens), and all texts of other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core; threads of the library would only add memory
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        known = json.loads(self.tokenizer.to_str())
+        before = known.get("pre_tokenizer") or {}
+        self.by_word = known.get("normalizer") is None and known["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        self.added = [t["content"] for t in known["added_tokens"]]
+        self.pieces = regex.compile(_PIECES).findall
+        self.characters = _byte_characters()
+        self.model = self.tokenizer.model
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids (``dtype``) of each text, in slices that keep memory bounded."""
-        out = []
-        for i in range(0, len(texts), 512):
-            out += self._encode(texts[i : i + 512])
-        return out
+    def _word(self, word: str) -> bytes:
+        if word[0] == " " and word[1:].isalpha():
+            return self._piece(word)
+        pieces = _ASCII_PIECES.findall(word) if word.isascii() else self.pieces(word)
+        return self._piece(word) if len(pieces) == 1 else b"".join([self._known(p[1:] if p[0] == " " else "\x1f" + p, p, self._piece) for p in pieces])
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        rows: list[list[str]] = []
-        for t in texts:
-            if not t:
-                rows.append([])
-            elif _SPLITS_AT_SPACE.search(t):
-                rows.append([t])
-            else:
-                first, *rest = t.split(" ")
-                rows.append([first, *[" " + w for w in rest]] if first else [" " + w for w in rest])
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for r in rows for w in r if w not in memo})
-        for i in range(0, len(new), 8192):
-            memo.update(zip(new[i : i + 8192], self._ids(new[i : i + 8192])))
-        return [b"".join(map(memo.__getitem__, r)) for r in rows]
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[0] == " " and piece[1:].isalnum():
+            written = "Ġ" + piece[1:]
+        else:
+            written = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids (``dtype``) of each text."""
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_word or any(t in text for t in self.added) or _ODD_SPACES.search(text):
+            return self._whole(text)
+        if (text[-1] == " " or any(t in text for t in _NEAR_SPACES)) and _SPLITS_AT_SPACE.search(text):
+            return self._whole(text)
+        first, *words = text.split(" ")
+        out = list(map(self.memo.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self._known(words[i], " " + words[i], self._word)
+        return (self._word(first) if first else b"") + b"".join(out)
+
+    def _known(self, key: str, text: str, encode) -> bytes:
+        """Ids of ``text`` from the memory; keys are what follows a space, or U+001F and a text without one (no word holds U+001F)."""
+        ids = self.memo.get(key)
+        if ids is None:
+            ids = self.older.get(key) or encode(text)
+            if len(key) <= MEMO_CHARS:
+                self.memo[key] = ids
+                if len(self.memo) >= MEMO:
+                    self.older, self.memo = self.memo, {}
+        return ids
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: tasks that run in it one after the other share what it remembers."""
+    return Encoder(path)
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -185,12 +240,14 @@ def token_rows(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def each(batches):
-        encoder, at = Encoder(path), 0
-        last, width = np.asarray([end], encoder.dtype).tobytes(), int(encoder.dtype[-1])
-        for batch in batches:
-            ids = [r + last for r in encoder.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(ids))), batch.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["at", "doc_id", "width", "ids"])
-            at += len(ids)
+        held, at = encoder(path), 0
+        last, width = np.asarray([end], held.dtype).tobytes(), int(held.dtype[-1])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                ids = [r + last for r in held.encode(batch.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(ids))), batch.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["at", "doc_id", "width", "ids"])
+                at += len(ids)
 
     rows = ranged.select("doc_id", "text").mapInArrow(each, "at long, doc_id long, width int, ids binary")
     return rows.select(F.spark_partition_id().alias("part"), "*")
@@ -202,12 +259,11 @@ def id_counts(rows: DataFrame) -> np.ndarray:
     def each(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{batch.column('width')[0].as_py()}")
-            n = np.bincount(ids, minlength=len(total))
-            n[: len(total)] += total
-            total = n
+            for i in range(0, batch.num_rows, SLICE):
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(i, SLICE).to_pylist()), f"<u{batch.column('width')[i].as_py()}")
+                n = np.bincount(ids, minlength=len(total))
+                n[: len(total)] += total
+                total = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -240,7 +296,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
             row = [part, at, doc_ids, list(map(len, raws)), tokens, marks.tolist(), payload]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             for part, at, doc, width, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "width", "ids"))):
                 block = held.setdefault(part, [at, [], [], 0])
                 block[1].append(doc)
@@ -269,7 +325,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def each(batches):
         decoder = Decoder(sent.value)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 tokens = decoder.unpack(r["payload"], np.asarray(r["checkpoints"], np.int64), r["tokens"]).astype("<u4")
                 ends = np.cumsum(r["n_tokens"])
                 raws = [tokens[e - k : e].tobytes() for e, k in zip(ends.tolist(), r["n_tokens"])]
