@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 from tieout.llm import decontaminate, gam, hnsw, htmltext, huffman, secrets, sentencepiece, shards, simhash, suffixes  # noqa: E402
@@ -243,3 +244,32 @@ def test_sentencepiece(spark, odd):
         ids = np.array(model.encode(text or ""), "<i4")
         assert (got[d].n_tokens, got[d].ids_crc32, got[d].round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True)
     assert sentencepiece.tokenized(odd).count() == len(ODD) and sentencepiece.tokenized(odd.limit(0)).count() == 0
+
+
+def test_ownership_tells_copied_from_live(spark):
+    copied, live = "ghp_" + "a1B2c3D4e5" * 3 + "f6G7h8", "ghp_" + "z9Y8x7W6v5" * 3 + "u4T3s2"
+    rows = [(i, f"clone with {copied} as shown", f"owner{i}") for i in range(5)]
+    rows += [(10, f"deploy {live} here", "owner0"), (11, f"deploy {live} again", "owner0"), (12, f"{copied} and {live}", "owner0"), (13, None, None)]
+    got = {r.doc_id: [(s.kind, s.s, s.e, s.owners) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    at = 7
+    assert got[10] == [("vendor", at, at + len(live), 1)] and got[11] == got[10]
+    assert got[12] == [("vendor", len(copied) + 5, len(copied) + 5 + len(live), 1)]
+    assert all(got[i] == [] for i in (*range(5), 13))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    red = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert red[10].text == "deploy [vendor] here" and red[10].n_chars == len(red[10].text) and red[0].text == rows[0][1] and red[13].text is None
+
+
+def test_weak_spans_keep_apart():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        found = []
+        for kind in "abc":
+            cuts = np.sort(rng.choice(60, 6, replace=False)).tolist()
+            found += [(s, e, kind, "") for s, e in zip(cuts[::2], cuts[1::2])]
+        taken = [(s, s + int(rng.integers(1, 8)), 0, "") for s in rng.choice(60, 3, replace=False).tolist()]
+        want = []
+        for f in found:
+            if all(f[1] <= a or f[0] >= b for a, b, *_ in [*taken, *want]):
+                want.append(f)
+        assert secrets._apart(found, taken) == want

@@ -17,6 +17,7 @@ rows; an empty table gives an empty result; extra columns are ignored. Words are
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -136,12 +137,13 @@ def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> l
     return [(items.items[i][0], s, items.items[i][1], sim) for i, (sim, s) in sorted(best.items())]
 
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, read a block at a time."""
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of bounded size; the driver holds one block at a time."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1
-    return [[tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:

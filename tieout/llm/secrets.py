@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,8 +75,34 @@ def weak_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
             value = m[1] if m.re.groups else m[0]
             if kind == "mixed" and (_entropy(value) < 3.5 or value.lower() == value or value.upper() == value):
                 continue
-            if all(e <= a or s >= b for a, b, *_ in taken) and all(e <= a or s >= b for a, b, *_ in out):
-                out.append((s, e, kind, value))
+            out.append((s, e, kind, value))
+    return _apart(out, taken)
+
+
+def _apart(found: list[tuple[int, int, str, str]], taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` without what overlaps a base span or something found earlier; spans of one kind come in order and don't overlap."""
+    held = _union([t[:2] for t in taken])
+    kept: list[tuple[int, int, str, str]] = []
+    for _, spans in groupby(found, key=lambda f: f[2]):
+        starts = [a for a, _ in held]
+        free = []
+        for f in spans:
+            i = bisect_right(starts, f[0])
+            if not (i and held[i - 1][1] > f[0] or i < len(held) and held[i][0] < f[1]):
+                free.append(f)
+        kept += free
+        held = _union(held + [f[:2] for f in free])
+    return kept
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
@@ -139,7 +167,7 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """Documents with every reported span replaced by ``[kind]``; all columns stay, nothing else changes."""
+    """Documents with every reported span replaced by ``[kind]``; all columns stay, ``n_chars`` follows the new text, nothing else changes."""
     found = scan(docs, owner).where("size(spans) > 0").select("doc_id", F.col("row_hash").alias("__scan_hash"), F.col("spans").alias("__scan_spans")).dropDuplicates(["doc_id", "__scan_hash"])
     found = found.withColumnRenamed("doc_id", "__scan_doc")
 
@@ -160,4 +188,6 @@ def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
     d = docs.withColumn("__scan_key", F.xxhash64("text"))
     joined = d.join(found, d.doc_id.cast("long").eqNullSafe(found["__scan_doc"]) & d["__scan_key"].eqNullSafe(found["__scan_hash"]), "left")
     text = F.when(F.col("__scan_spans").isNull(), F.col("text")).otherwise(cover(F.col("text"), F.col("__scan_spans")))
-    return joined.select(*[(text.alias("text") if c == "text" else docs[c]) for c in docs.columns])
+    # a text without secrets keeps the count it came with
+    changed = {"text": text, "n_chars": F.when(F.col("__scan_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))}
+    return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
