@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,33 +59,51 @@ def canonical(heading: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", heading.lower()).strip()
 
 
-def strength(heading: str, name: str) -> tuple[int, int]:
-    """MP2: how well a heading fits a field (0 to 100), and the place of the name that says so."""
-    h, (names, stems) = canonical(heading), FIELDS[name]
-    if h in names:
-        return 100, names.index(h)
-    for i, n in enumerate(names):
-        if h and (h.startswith(f"{n} ") or n.startswith(f"{h} ")):
-            return 70, i
-    return next(((40, i) for i, s in enumerate(stems) if s in h), (0, 0))
+class Edge(NamedTuple):
+    """A column that may be a field's: the larger ``score`` and then the smaller ``rank`` fit better."""
+
+    field: str
+    column: int
+    score: int
+    rank: int
+
+
+def edges_of(headings: list[str]) -> list[Edge]:
+    """MP2, MP3: the best claim of each field on each column; the surest fields come first, and of a field the best columns."""
+    tests = {100: lambda h, n: h == n, 70: lambda h, n: h.startswith(f"{n} ") or n.startswith(f"{h} "), 40: lambda h, n: n in h}
+    found = []
+    for name, (names, stems) in FIELDS.items():
+        for column, heading in enumerate(map(canonical, headings)):
+            claims = [(score, -rank) for score, fits in tests.items() for rank, n in enumerate(stems if score == 40 else names) if heading and fits(heading, n)]
+            if claims:
+                score, rank = max(claims)
+                found.append(Edge(name, column, score, -rank))
+    surest: dict[str, int] = {}
+    for e in found:
+        surest[e.field] = max(e.score, surest.get(e.field, 0))
+    return sorted(found, key=lambda e: (-surest[e.field], list(FIELDS).index(e.field), -e.score, e.rank, e.column))
+
+
+def _rivals(claims: list[Edge]) -> list[Edge]:
+    """MP4: an amount's best claims, or a date's where two are by one name, can't be told apart if they tie; the claims that do."""
+    top = [e for e in claims if e.score == claims[0].score >= 70]
+    alike = len(top) > 1 and (claims[0].field == "amount" or claims[0].field == "date" and top[0].rank == top[1].rank)
+    return top if alike else []
 
 
 def detect(headings: list[str], source: str) -> Mapping:
-    """MP3 to MP5: each field's column, strongest fields first, each column once; ties on an amount are refused."""
-    fits = {f: sorted((-s, rank, i) for i, h in enumerate(headings) if (s := (x := strength(h, f))[0]) for rank in [x[1]]) for f in FIELDS}
-    out, used = Mapping(source), set()
-    for f in sorted(FIELDS, key=lambda f: fits[f][0][0] if fits[f] else 0):
-        open_ = [x for x in fits[f] if x[2] not in used]
-        if not open_:
-            continue
-        ties = [x for x in open_ if x[0] == open_[0][0]]
-        if len(ties) > 1 and -ties[0][0] >= 70 and (f == "amount" or f == "date" and ties[0][1] == ties[1][1]):
-            out.ambiguous[f] = [headings[x[2]] for x in ties]
-            continue
-        used.add(open_[0][2])
-        out.columns[f] = headings[open_[0][2]]
-    out.missing = [f for f in REQUIRED[source] if f not in out.columns and f not in out.ambiguous]
-    if source == "bank" and not {"amount", "debit", "credit"} & set(out.columns) and "amount" not in out.ambiguous:
+    """MP3 to MP5: one pass over the edges gives each field its best free column; rivals are refused, not guessed."""
+    out, free = Mapping(source), set(range(len(headings)))
+    for name, claims in groupby(edges_of(headings), key=lambda e: e.field):
+        open_ = [e for e in claims if e.column in free]
+        if open_ and (rivals := _rivals(open_)):
+            out.ambiguous[name] = [headings[e.column] for e in rivals]
+        elif open_:
+            free.discard(open_[0].column)
+            out.columns[name] = headings[open_[0].column]
+    told = {*out.columns, *out.ambiguous}
+    out.missing = [f for f in REQUIRED[source] if f not in told]
+    if source == "bank" and told.isdisjoint(("amount", "debit", "credit")):
         out.missing.append("amount")
     return out
 
