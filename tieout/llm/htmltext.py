@@ -1,21 +1,24 @@
 """Main text of a web page by minimum-cut labelling of its blocks.
 
-A page is read into blocks of text in page order. A linear classifier of each block (what it stands
-in, its links, length and punctuation) gives log-odds, which become terminal capacities; neighbours in
-the page and in the DOM are joined by smoothness capacities; the minimum cut between the terminals
-leaves the content blocks on the source's side. Weights are fixed parameters of ``CONTEXT`` and
-``evidence``; nodes whose terminal outweighs all their edges are settled before the flow.
+A page is read into blocks of text in page order. A linear classifier of each block (the cues of what it
+stands in, its links, length and punctuation) gives log-odds, which become terminal capacities; neighbours
+in the page and in the DOM are joined by smoothness capacities; the minimum cut between the terminals
+leaves the content blocks on the source's side. Terminals are squashed to about what a block's edges add
+up to, so neighbours can turn a block over. Weights are fixed parameters; nothing is learnt. Blocks whose
+terminal outweighs all their edges are settled before the flow.
 
 Defined cases: null or empty html gives an empty text; unclosed tags, comments and quotes end with the
 page; character references are decoded; white space in a block becomes one space; blocks are joined by
-a newline; repeated rows keep a row each; an empty table gives an empty result.
+a newline; repeated rows keep a row each; an empty table gives an empty result; extra columns are kept,
+an earlier ``text`` column being replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
+from math import exp, tanh
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,26 +41,36 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Where a search for an element to close stops.
 WALLS = frozenset("ul ol dl table div section article aside nav body form main header footer".split())
 
-#: Log-odds of what a block stands in.
-CONTEXT = {"content": 4.0, "boilerplate": -8.0, "form": -5.0}
-_BAD = frozenset(
-    "nav navbar navigation menu submenu header masthead topbar footer foot sidebar aside notice cookie cookies consent gdpr banner alert ad ads adv advert"
-    " adverts advertisement advertising promo promotion sponsor sponsored comment comments commentlist respond reply replies disqus share sharing social related"
-    " recommend recommended recommendations breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login popup modal overlay widget"
-    " toolbar copyright legal skip tags tagcloud feedback survey hidden".split()
+#: Log-odds that what an element's own cues say adds to its blocks. They are priors: a block's text, and through
+#: the cut its neighbours, can overrule any of them but STRONG ones.
+GOOD, WEAK, FORM, STRONG = 2.0, -2.0, -3.0, -6.0
+#: Beyond this an inner "article" no longer speaks for content.
+LOST = -3.5
+#: Terminals are squashed to this range, about what the edges of one block add up to.
+RANGE = 3.0
+_STRONG = frozenset(
+    "nav navbar navigation menu submenu footer sidebar notice cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement advertising promo"
+    " promotion sponsor sponsored comment comments commentlist disqus share sharing breadcrumb breadcrumbs pagination pager subscribe subscription newsletter"
+    " signup login popup modal copyright hidden".split()
+)
+_WEAK = frozenset(
+    "header masthead topbar foot aside respond reply replies social related recommend recommended recommendations overlay widget toolbar legal skip tags tagcloud"
+    " feedback survey".split()
 )
 _GOOD = frozenset("article content main post entry story text body prose".split())
 _BAD_TAGS = frozenset("nav footer aside menu dialog".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _context(tag: str, attrs: str, outer: str) -> str:
-    """What an element's blocks stand in, given what the element itself stands in."""
-    if outer == "boilerplate":
-        return outer
-    if tag in _BAD_TAGS or tag == "header" and outer != "content":
-        return "boilerplate"
-    good = tag in ("article", "main")
+def _prior(tag: str, attrs: str, outer: float) -> float:
+    """Log-odds of what an element's blocks stand in, given those of what the element itself stands in."""
+    if tag in _BAD_TAGS:
+        return STRONG
+    inside, cue, good = outer > 0, 0.0, tag in ("article", "main")
+    if tag == "header" and not inside:
+        cue = WEAK
+    elif tag in ("form", "fieldset"):
+        cue = FORM
     if attrs and not attrs.isspace() and tag not in ("html", "body"):
         names: list[str] = []
         for key, a, b, c in _ATTR.findall(attrs):
@@ -67,42 +80,47 @@ def _context(tag: str, attrs: str, outer: str) -> str:
                 if not any(w in ("with", "has", "no", "without") for w in words):
                     names += words
             elif key == "role" and value.lower() in _BAD_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return "boilerplate"
+                return STRONG
             elif key == "role" and value.lower() in ("main", "article"):
                 good = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return "boilerplate"
-        bad = _BAD.intersection(names)
-        if bad and not (outer == "content" and bad <= {"header"}):
-            return "boilerplate"
-        good |= not bad and not _GOOD.isdisjoint(names)
-    if good:
-        return "content"
-    return "form" if tag in ("form", "fieldset") and outer != "content" else outer
+                return STRONG
+        if not _STRONG.isdisjoint(names):
+            return STRONG
+        weak = _WEAK.intersection(names)
+        if weak and not (inside and weak <= {"header"}):
+            cue = min(cue, WEAK)
+        elif not _GOOD.isdisjoint(names):
+            good = True
+    if cue:
+        return max(STRONG, outer + cue)
+    return max(outer, GOOD) if good and outer > LOST else outer
 
 
 class Block:
-    __slots__ = ("text", "tag", "context", "parent", "path", "linked")
+    __slots__ = ("text", "tag", "prior", "parent", "node", "linked")
 
-    def __init__(self, text, tag, context, parent, path, linked):
-        self.text, self.tag, self.context, self.parent, self.path, self.linked = text, tag, context, parent, path, linked
+    def __init__(self, text, tag, prior, parent, node, linked):
+        self.text, self.tag, self.prior, self.parent, self.node, self.linked = text, tag, prior, parent, node, linked
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page that hold text, in page order."""
+def blocks_of(html: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page that hold text, in page order, and the parent of each element (by number)."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, number, context
+    up = [0]
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, prior
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    numbers, linked, in_link, at, n = 0, 0, False, 0, len(html)
+    linked, in_link, at, n = 0, False, 0, len(html)
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, _, context = stack[-1]
-                holder = stack[-2][1] if tag in ("p", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") and len(stack) > 1 else stack[-1][1]
-                out.append(Block(text, tag, context, holder, tuple(s[1] for s in stack), min(linked, len(text))))
+                tag, node, prior = stack[-1]
+                holder = stack[-2][1] if tag in ("p", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") and len(stack) > 1 else node
+                out.append(Block(text, tag, prior, holder, node, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -114,6 +132,15 @@ def blocks_of(html: str) -> list[Block]:
             if in_link:
                 linked += len(raw)
 
+    def close(tag: str):
+        """Leave the innermost open ``tag`` and all that is open in it."""
+        if opened[tag]:
+            while True:
+                left = stack.pop()[0]
+                opened[left] -= 1
+                if left == tag:
+                    break
+
     while True:
         m = _MARKUP.search(html, at)
         if m is None:
@@ -133,8 +160,8 @@ def blocks_of(html: str) -> list[Block]:
                 if end is None:
                     at = n
                 else:
-                    close = html.find(">", end.start())
-                    at = n if close < 0 else close + 1
+                    gt = html.find(">", end.start())
+                    at = n if gt < 0 else gt + 1
         elif tag == "a":
             in_link = not closing
         elif tag in BLOCKS or attrs and not closing and tag not in VOID and ("class" in attrs or "id=" in attrs or "hidden" in attrs or "role" in attrs or "style" in attrs):
@@ -142,46 +169,42 @@ def blocks_of(html: str) -> list[Block]:
             if block:
                 flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                close(tag)
                 in_link = in_link and not block
                 continue
             if block:
-                if tag != "p" and tag in CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in CLOSES[tag]:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in WALLS:
-                            break
+                if tag in CLOSES:
+                    if any(opened[t] for t in CLOSES[tag]):
+                        for k in range(len(stack) - 1, 0, -1):
+                            if stack[k][0] in CLOSES[tag]:
+                                close(stack[k][0])
+                                break
+                            if stack[k][0] in WALLS:
+                                break
                 elif stack[-1][0] == "p":
-                    stack.pop()
+                    close("p")
             outer = stack[-1][2]
-            context = _context(tag, attrs, outer)
-            if not block and context == outer or tag in VOID or attrs.endswith("/"):
+            prior = _prior(tag, attrs, outer)
+            if not block and prior == outer or tag in VOID or attrs.endswith("/"):
                 continue
             if not block:
                 flush()
-            numbers += 1
-            stack.append((tag, numbers, context))
-        elif closing and any(s[0] == tag for s in stack[1:]):  # an inline element that had a context of its own
+            stack.append((tag, len(up), prior))
+            up.append(stack[-2][1])
+            opened[tag] += 1
+        elif closing and opened[tag]:  # an inline element that had a prior of its own
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close(tag)
     flush()
-    return out
+    return out, up
 
 
 def evidence(b: Block) -> float:
-    """Log-odds that a block is content."""
+    """Log-odds that a block is content, squashed to RANGE."""
     size, words = len(b.text), b.text.count(" ") + 1
-    e = CONTEXT.get(b.context, 0.0)
+    e = b.prior
     links = b.linked / size
-    e -= 4.0 * links if b.context != "content" else 1.5 * links
+    e -= 4.0 * links if b.prior <= 0 else 1.5 * links
     e += min(words, 40) / 16 - 0.4
     if b.text[-1] in ".!?:;\"'”’…":
         e += 0.5
@@ -189,24 +212,31 @@ def evidence(b: Block) -> float:
         e += 0.75
     if "©" in b.text[:40]:
         e -= 4.0
-    return e
+    return RANGE * tanh(e / RANGE)
+
 
+def smoothness(blocks: list[Block], up: list[int]) -> list[tuple[int, int, float]]:
+    """Edges between page neighbours and between a container's blocks in turn.
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between page neighbours, stronger the more of the DOM they share, and between a container's blocks in turn."""
+    An edge is stronger the closer two blocks are in the DOM, and weaker the more the priors of what they
+    stand in differ, so that a cut likes to run along the border of a menu or an advert. The way from one
+    block to the next through the DOM is walked from both ends; all of them together pass each element twice.
+    """
     edges, last = [], {}
     for j, b in enumerate(blocks):
         if j:
-            a = blocks[j - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((j - 1, j, 0.25 + (0.75 if a.parent == b.parent else 0.5 * shared / max(len(a.path), len(b.path)))))
+            a, steps, x, y = blocks[j - 1], 0, blocks[j - 1].node, b.node
+            while x != y:  # numbers grow downwards, so the greater one is not an ancestor of the other
+                if x > y:
+                    x = up[x]
+                else:
+                    y = up[y]
+                steps += 1
+            near = 1.0 if a.parent == b.parent else 1.0 / (1 + steps)
+            edges.append((j - 1, j, near * exp(-abs(a.prior - b.prior) / 2)))
         i = last.get(b.parent)
         if i is not None and i < j - 1:
-            edges.append((i, j, 0.5))
+            edges.append((i, j, 0.5 * exp(-abs(blocks[i].prior - b.prior) / 2)))
         last[b.parent] = j
     return edges
 
@@ -234,7 +264,10 @@ def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list
                 todo.append(j)
             near[i] = {}
     left = [i for i in range(n) if side[i] is None]
-    if left:
+    if left and (min(score[i] for i in left) >= 0 or max(score[i] for i in left) < 0):  # nothing to separate
+        for i in left:
+            side[i] = score[i] >= 0
+    elif left:
         source, sink = n, n + 1
         cap: list[dict[int, float]] = [dict(d) for d in near] + [{}, {}]
         for i in left:
@@ -295,8 +328,8 @@ def main_text(html: str | None) -> str:
     """The content blocks of one page, joined by newlines."""
     if not html:
         return ""
-    blocks = blocks_of(html)
-    keep = minimum_cut([evidence(b) for b in blocks], smoothness(blocks))
+    blocks, up = blocks_of(html)
+    keep = minimum_cut([evidence(b) for b in blocks], smoothness(blocks, up))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
