@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.tables import cut, discard, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a new local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tieout-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors don't lose it, and its plan ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tieout-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tieout_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table that :func:`cut` wrote and that nothing reads any more."""
-    path = getattr(df, "_tieout_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+#: A key is hot from this share of all rows on, one in PARTS.
+PARTS = 4096
+
+
+def hot_parts(counts: DataFrame, total: int) -> DataFrame:
+    """(key, parts) of the keys (key, n) that hold more than one in PARTS of ``total`` rows.
+
+    There are fewer than PARTS such keys whatever the data, and their parts add up to less than twice
+    PARTS, so the table may be broadcast.
+    """
+    hot = counts.where(F.col("n") * PARTS > total)
+    return hot.withColumn("parts", F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int")).drop("n")
+
+
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``rows`` with ``salt``: one of a hot key's parts, by hash of ``by``; 0 for other keys."""
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")).cast("int"), F.lit(0))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("parts")
+
+
+def for_each_salt(side: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``side``, which has a row a key, with a row for each ``salt`` that :func:`salted` deals to the key."""
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    return side.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("parts")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

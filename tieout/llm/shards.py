@@ -3,7 +3,8 @@
 Documents that share a link key (here: equal texts) are neighbours. Each starts in a shard by hash;
 in every round each linked document votes for the shard where most of its neighbours are, of ties the
 lowest, among shards with room, and moves are let through up to that room. Votes are one row of counts
-a key, so a key that a third of all rows share costs one combined sum and one join. At the end rows
+a key, so a key that a third of all rows share costs one combined sum and one join dealt over parts
+of that key. At the end rows
 move, unlinked ones first, until shards differ by one row at most (law ``rows``), and each row gets a
 gapless slot in its shard from counts of small cells, without a task that holds a shard.
 
@@ -21,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, for_each_salt, hot_parts, salted
 
 SHARDS = 24
 ROUNDS = 16
@@ -37,14 +38,16 @@ def propagate(links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
     """(rid, shard) of linked rows; links: (rid, key), rows sharing a key are neighbours; rows: of all, linked or not."""
     cap = max(1, rows // shards)
     links = links.where("key is not null").distinct()
-    shared = links.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    links = cut(links.join(shared, "key"), "links")
+    shared = cut(links.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    hot = cut(hot_parts(shared, rows), "hot")
+    links = cut(salted(links, hot, "key", ["rid"]).join(for_each_salt(shared.select("key"), hot, "key"), ["key", "salt"]), "links")
+    discard(shared)
     state = cut(links.select("rid").distinct().select("rid", _start(shards).alias("shard")), "labels")
     for round_ in range(rounds):
         held = {s: n for s, n in state.groupBy("shard").count().collect()}  # a row a shard
         room = [max(0, cap - held.get(s, 0)) for s in range(shards)]
         ballots = links.join(state, "rid").groupBy("key").agg(F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)]).alias("v"))
-        votes = links.join(ballots, "key").groupBy("rid").agg(F.array(*[F.sum(F.col("v")[s]) for s in range(shards)]).alias("v"))
+        votes = links.join(for_each_salt(ballots, hot, "key"), ["key", "salt"]).groupBy("rid").agg(F.array(*[F.sum(F.col("v")[s]) for s in range(shards)]).alias("v"))
         open_ = F.array(*[F.lit(r > 0) for r in room])
         choice = F.filter(
             F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.get("v", s).alias("n"), (-s).alias("s"))),
@@ -65,6 +68,7 @@ def propagate(links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
         discard(state)
         state = new
     discard(links)
+    discard(hot)
     return state
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, longs
+from .common import cut, for_each_salt, hot_parts, longs, salted
 
 LENGTH = 400
 GRAM = 32
@@ -377,8 +377,10 @@ def _hot_runs(bodies: DataFrame, length: int) -> DataFrame:
 
     windows = rows.select("uid", "data").join(wanted, "uid").select("data", "spots").mapInArrow(digests, "digest binary, key long, sub binary, k int, times long")
     windows = cut(windows, "windows")
-    again = windows.groupBy("digest").agg(F.sum("times").alias("m")).where("m > 1").select("digest")
-    hit = windows.where("times = 1").join(again, "digest").groupBy("key", "sub").agg(F.array_sort(F.collect_set("k")).alias("k"))
+    again = cut(windows.groupBy("digest").agg(F.sum("times").alias("m"), F.count("*").alias("n")).where("m > 1").select("digest", "n"), "again")
+    hot = cut(hot_parts(again, windows.count()), "hot")
+    once = salted(windows.where("times = 1"), hot, "digest", ["key", "sub", "k"])
+    hit = once.join(for_each_salt(again.select("digest"), hot, "digest"), ["digest", "salt"]).groupBy("key", "sub").agg(F.array_sort(F.collect_set("k")).alias("k"))
     hit = hit.select("key", "sub", F.transform("k", lambda k: F.struct(k.alias("a"), (k + length).alias("e"))).alias("runs"))
     found = subs.join(hit.unionByName(whole), ["key", "sub"]).select("uid", F.transform("runs", lambda r: F.struct((F.col("off") + r.a).alias("a"), (F.col("off") + r.e).alias("e"))).alias("runs"))
     found = found.groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
