@@ -14,6 +14,7 @@ FAST = [
     "scan_union_entries", "parse_amount", "parse_date", "mine_reference", "fee_breakdown", "money_format", "priority_fingerprint", "quality_issues", "quality_rollup", "disambiguate_ids",
     "ingest_payments", "exact_reference_edges", "deduction_links", "over_refund", "candidate_pairs", "pair_scores", "near_amount_semi", "near_amount_anti", "pair_precision_recall",
     "value_precision", "worklist_merge", "worklist_events", "worklist_page", "worklist_summary", "connected_components", "split_batch", "money_summary",
+    "rate_card_override", "refused_deductions", "plausible_groups", "run_aggregate", "money_shares", "top_categories",
 ]
 
 

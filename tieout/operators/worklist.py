@@ -66,6 +66,12 @@ def page(worklist: DataFrame, sort: str = "amount", descending: bool = True, lim
     """PR10, SL2: a page of the worklist. equal: column=value, with ``min_``/``max_`` for ranges; falsy values don't filter."""
     if sort not in SORTS:
         raise ValueError(f"can't sort by {sort}")
+    key = F.col("last_run" if sort == "updated_run" else sort)
+    order = key.desc() if descending else key.asc()
+    return _filtered(worklist, search, **equal).orderBy(order, "fingerprint").offset(max(0, offset)).limit(min(max(1, limit), 500))
+
+
+def _filtered(worklist: DataFrame, search: str | None = None, **equal) -> DataFrame:
     for column, value in equal.items():
         if value in (None, "", 0):
             continue
@@ -77,9 +83,12 @@ def page(worklist: DataFrame, sort: str = "amount", descending: bool = True, lim
             worklist = worklist.where(F.col(column) == value)
     if search:
         worklist = worklist.where(F.col("entry_id").contains(search) | F.lower("rationale").contains(search.lower()) | F.lower("category").contains(search.lower()))
-    key = F.col("last_run" if sort == "updated_run" else sort)
-    order = key.desc() if descending else key.asc()
-    return worklist.orderBy(order, "fingerprint").offset(max(0, offset)).limit(min(max(1, limit), 500))
+    return worklist
+
+
+def total(worklist: DataFrame, **filters) -> int:
+    """SL2: how many items the filters of :func:`page` leave, whatever the page."""
+    return _filtered(worklist, **filters).count()
 
 
 def summary(worklist: DataFrame) -> DataFrame:
@@ -87,6 +96,16 @@ def summary(worklist: DataFrame) -> DataFrame:
     return worklist.groupBy("status", "category").agg(F.count("*").alias("items"), F.sum("amount").alias("value"), F.count_if(F.col("times_seen") > 1).alias("carried"))
 
 
+def record_run(path: str, run: str, batch: DataFrame, metrics: DataFrame) -> None:
+    """ST7: append a row to the ledger of runs: id, time, a digest of the entries in any order, and the run's metrics.
+
+    Rows are never changed; the same input run twice is two rows with one digest.
+    """
+    h = F.sum(F.xxhash64(*sorted(batch.columns)).cast("decimal(38,0)"))
+    digest = batch.agg(F.substring(F.sha2(F.concat_ws("|", F.coalesce(h, F.lit(0)).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("digest"))
+    digest.join(metrics).select(F.lit(run).alias("run"), F.current_timestamp().alias("ts"), "digest", *metrics.columns).write.mode("append").parquet(path)
+
+
 class Worklist:
     """Versions of the worklist in a folder: each change writes whole new tables, then moves the pointer, so readers see all or nothing."""
 
@@ -110,12 +129,13 @@ class Worklist:
         return self.spark.read.parquet(f"{self.path}/v={versions[-1]}/items") if versions else self.spark.createDataFrame([], ITEM)
 
     def history(self) -> DataFrame:
-        """ST6: all events, each with its version."""
+        """ST6, SL4: all events, each with its version, which orders them."""
         versions = self._versions()
         kind = "fingerprint string, event string, run string, from_status string, to_status string, body string, v int"
         if not versions:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind.removesuffix(", v int")).parquet(*[f"{self.path}/v={v}/events" for v in versions])
+        from_ = F.regexp_extract("_metadata.file_path", "/v=(\\d+)/events", 1).cast("int").alias("v")
+        return self.spark.read.schema(kind.removesuffix(", v int")).parquet(*[f"{self.path}/v={v}/events" for v in versions]).select("*", from_)
 
     def runs(self) -> list[int]:
         return self._versions()[::-1]

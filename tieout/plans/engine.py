@@ -12,19 +12,20 @@ from tieout.conf import Settings
 from tieout.functions.scalars import digest16
 from tieout.operators import exceptions as exc
 from tieout.operators import groups as grp
-from tieout.operators import reference, resolver, settlement
+from tieout.operators import reference, reports, resolver, settlement
 from tieout.tables import cut
 
 
 @dataclass
 class Result:
-    """Tables of one run. ``clustered``: entries with ``comp``; ``exceptions``; ``groups`` with status and amount; ``audit``."""
+    """Tables of one run. ``clustered``: entries with ``comp``; ``exceptions``; ``groups`` with status and amount; ``refused``: what rules declined."""
 
     clustered: DataFrame
     groups: DataFrame
     exceptions: DataFrame
     links: DataFrame
     pairs: DataFrame
+    refused: DataFrame
 
     def money(self, per_currency: bool = False) -> DataFrame:
         return grp.money_summary(self.clustered, self.groups, self.exceptions, per_currency)
@@ -94,7 +95,7 @@ def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool
         refused = ambiguous.select(F.col("unit").alias("ord")).distinct().join(final.select("ord", "comp"), "ord").select("comp")
     g = grp.status(g, entries, refused, settings.lag_days)
     g = cut(stages(g, s_links, b_links, deductions, pairs, final), "groups")
-    return Result(final.unionByName(left.select(final.columns)).unionByName(linked.join(dups.select("ord"), "ord", "left_semi").select(final.columns)), g, raised, s_links.unionByName(b_links), pairs)
+    return Result(final.unionByName(left.select(final.columns)).unionByName(linked.join(dups.select("ord"), "ord", "left_semi").select(final.columns)), g, raised, s_links.unionByName(b_links), pairs, reports.refusals(deductions, ambiguous, entries))
 
 
 def stages(g: DataFrame, s_links: DataFrame, b_links: DataFrame, deductions: DataFrame, pairs: DataFrame, final: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,13 +13,13 @@ from tieout.conf import Settings
 from tieout.functions import fees
 from tieout.functions import scalars as fn
 from tieout.operators import exceptions as exc
-from tieout.operators import graph, reference, resolver, settlement, units, worklist
+from tieout.operators import graph, reference, reports, resolver, settlement, units, worklist
 from tieout.operators import groups as grp
 from tieout.plans.engine import cluster, reconcile
 from tieout.schema import as_entries
 from tieout.sources import ingest, quality
 from tieout.sources.derived import BATCH_SQL, base_of, batch
-from tieout.tables import cut
+from tieout.tables import cut, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -608,3 +610,80 @@ def reconcile_metrics(spark, sf):
 @query()
 def reconcile_exceptions(spark, sf):
     return reconcile(batch(spark, sf), Settings.of(spark)).exceptions.select("id", "source", "category", "amount", "conf", "action")
+
+
+# ---- refusals, proposals, reports -----------------------------------------------------------------
+
+
+@query(
+    """SELECT * FROM (VALUES ('card', 200::BIGINT, 300::BIGINT, 1800::BIGINT, 'Card'), ('wallet', 150, 0, 1800, 'purse'), ('gift', 50, 0, 1800, 'gift'), ('emi', 300, 0, 1800, 'EMI'),
+    ('default', 200, 0, 1800, 'default')) t(method, percent_bps, fixed_minor, tax_bps, label)""",
+    derived=False,
+)
+def rate_card_override(spark, sf):
+    """FN17: rules that give some fields, name a new method, or can't be read."""
+    rules = {"Card": {"fixed_minor": 300}, "wallet": {"percent_bps": 150, "label": "purse"}, "gift": {"percent_bps": 50}, "emi": {"percent_bps": "much"}}
+    path = f"{shared_dir(spark)}/card-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps({"rules": rules}),)], "value string").write.text(path)
+    return fees.rate_card(spark, path).where(F.col("method").isin("card", "wallet", "gift", "emi", "default"))
+
+
+_DISPUTED = """, d AS (SELECT k, cur, g, CASE WHEN k % 38 = 0 THEN rf * 4 ELSE rf END taken, k % 95 = 0 AS foreign_, CASE WHEN k % 2 = 0 THEN 'chargeback' ELSE 'refund' END src FROM base WHERE k % 19 = 0 AND k % 57 <> 0)"""
+
+
+@query(
+    f"""{_DISPUTED} SELECT 'deduction-currency-mismatch@v1' AS rule, 'pay_' || k || ',rf_' || k inputs, 'rejected' outcome, 0.0::DOUBLE confidence, src || ' in EUR names a payment in ' || cur rationale FROM d WHERE foreign_
+    UNION ALL SELECT 'over-refund@v1', 'pay_' || k, 'exception', 0.95, 'deductions exceed the payment by ' || CAST(taken - g AS BIGINT) FROM d WHERE NOT foreign_ AND taken > g"""
+)
+def refused_deductions(spark, sf):
+    """JN2 to JN4 with chargebacks: deductions in another currency, and those that exceed their payment."""
+    k = F.col("ord") % SPAN
+    mine = F.col("source") == "refund"
+    e = batch(spark, sf).withColumn("amount", F.when(mine & (k % 38 == 0), F.col("amount") * 4).otherwise(F.col("amount")))
+    e = e.withColumn("currency", F.when(mine & (k % 95 == 0), "EUR").otherwise(F.col("currency"))).withColumn("source", F.when(mine & (k % 2 == 0), "chargeback").otherwise(F.col("source")))
+    links = reference.deduction_links(reference.exact_reference(e))
+    return reports.refusals(links, None, e).select("rule", F.array_join("inputs", ",").alias("inputs"), "outcome", F.col("confidence").cast("double").alias("confidence"), "rationale")
+
+
+@query(
+    f""", m AS (SELECT ord % {SPAN} grp, source, amount FROM entries), g AS (SELECT grp, count(*) members, CAST(coalesce(sum(amount) FILTER (source IN ('payment', 'ledger')), 0) AS BIGINT) gross,
+      CAST(coalesce(sum(amount) FILTER (source IN ('settlement', 'bank')), 0) AS BIGINT) net, min(amount) low, max(amount) high FROM m GROUP BY 1),
+    s AS (SELECT *, CASE WHEN gross = 0 OR net = 0 THEN high - low ELSE abs(gross - net) END gap, CASE WHEN gross = 0 OR net = 0 THEN high // 20 ELSE gross // 20 END part FROM g)
+    SELECT grp, members, CAST(gap AS BIGINT) gap, members > 1 AND gap <= greatest(100, part) plausible FROM s"""
+)
+def plausible_groups(spark, sf):
+    """PR9 asked of the entries of each order as one proposal."""
+    return reports.plausible(batch(spark, sf).select((F.col("ord") % SPAN).alias("grp"), "source", "amount"))
+
+
+@query(
+    """, r AS (SELECT cur label, (k % 1000) / 1000.0 "precision", (k % 777) / 777.0 recall, (k % 501) / 501.0 f1, CASE WHEN k % 3 > 0 THEN (k % 11) / 11.0 END amr, g, k FROM base)
+    SELECT label, count(*) runs, CAST(sum(k % 50) AS BIGINT) total_entries, round(avg("precision"), 4) precision_mean, round(min("precision"), 4) precision_worst, round(avg(recall), 4) recall_mean, round(min(f1), 4) f1_worst,
+      round(avg(amr), 4) auto_match_rate_mean, CAST(sum(g) AS BIGINT) false_match_cost, bool_and(k % 2 = 0) all_replay_stable FROM r GROUP BY 1"""
+)
+def run_aggregate(spark, sf):
+    """AG11 over made-up scores, one an order."""
+    k = _k()
+    scores = _base(spark, sf).select(
+        F.col("cur").alias("label"), (k % 1000 / 1000.0).alias("precision"), (k % 777 / 777.0).alias("recall"), (k % 501 / 501.0).alias("f1"), F.when(k % 3 > 0, k % 11 / 11.0).alias("auto_match_rate"),
+        F.lit(1.0).alias("category_accuracy"), F.lit(1.0).alias("value_precision"), F.lit(0.0).alias("resolver_share"), (k % 50).alias("entries"), F.col("g").alias("false_match_cost"), (k % 2 == 0).alias("replay_stable"),
+    )
+    return reports.run_summary(scores).select("label", "runs", "total_entries", "precision_mean", "precision_worst", "recall_mean", "f1_worst", "auto_match_rate_mean", "false_match_cost", "all_replay_stable")
+
+
+_PARTS = {"reconciled": "payment", "in_transit": "settlement", "recoverable": "bank", "unrecorded": "ledger", "ambiguous": "chargeback"}
+
+
+@query(
+    """, p AS (SELECT currency, CASE source WHEN 'payment' THEN 'reconciled' WHEN 'settlement' THEN 'in_transit' WHEN 'bank' THEN 'recoverable' ELSE 'unrecorded' END bucket, CAST(sum(amount) AS BIGINT) amount FROM entries WHERE source <> 'refund' GROUP BY 1, 2)
+    SELECT currency, bucket, amount, round(amount / sum(amount) OVER (PARTITION BY currency), 4) AS share FROM p WHERE amount > 0"""
+)
+def money_shares(spark, sf):
+    """AG15 over what each source adds up to."""
+    sums = [F.coalesce(F.sum(F.when(F.col("source") == s, F.col("amount"))), F.lit(0)).cast("long").alias(b) for b, s in _PARTS.items()]
+    return reports.money_shares(batch(spark, sf).groupBy("currency").agg(*sums), ["currency"])
+
+
+@query(" SELECT source category, count(*) n FROM entries GROUP BY 1 ORDER BY n DESC, category LIMIT 6")
+def top_categories(spark, sf):
+    return reports.top_categories(batch(spark, sf).withColumnRenamed("source", "category"))

@@ -115,6 +115,44 @@ def entries_of(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return disambiguate(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, every)
 
 
+def guard(tables: dict[str, DataFrame], max_rows: int) -> dict[str, DataFrame]:
+    """SC7: ``tables`` again, or a ValueError if they hold more than ``max_rows`` rows together; asked before any mapping.
+
+    Only as many rows as the limit allows are counted.
+    """
+    if tables:
+        found = reduce(DataFrame.unionAll, [t.select(F.lit(1)) for t in tables.values()]).limit(max_rows + 1).count()
+        if found > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+    return tables
+
+
+def datasets(spark: SparkSession, root: str) -> list[str]:
+    """SC5: names of the folders below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
+
+def load_dataset(spark: SparkSession, root: str, name: str) -> tuple[dict[str, DataFrame], DataFrame | None, DataFrame | None]:
+    """SC4: (exports by source, labels (grp, id), truth) of a named folder; absent files give None, names are never paths."""
+    if not isinstance(name, str) or not name.isascii() or not 0 < len(name) <= 64 or not name.replace("-", "").replace("_", "").isalnum():
+        raise ValueError(f"invalid dataset name {name!r}")
+    if name not in datasets(spark, root):
+        raise FileNotFoundError(f"no dataset {name!r} in {root}")
+    folder = f"{root.rstrip('/')}/{name}"
+    root_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = {s.getPath().getName() for s in root_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(root_path)}
+    truth = spark.read.option("multiLine", True).json(f"{folder}/truth.json") if "truth.json" in names else None
+    held = labels(spark, f"{folder}/labels.json") if "labels.json" in names else None
+    return {s: read(spark, p) for s, p in existing(spark, folder).items()}, held, truth
+
+
+def with_provenance(entries: DataFrame, origin: str) -> DataFrame:
+    """SC10: ``entries`` with where they came from."""
+    return entries.withColumn("provenance", F.lit(origin))
+
+
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """SC3: entries and assessed rows of the exports in a folder."""
     return entries_of({s: read(spark, p) for s, p in existing(spark, folder).items()})

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.plans.engine import Result
+from tieout.sources.ingest import numbered
+from tieout.tables import cut
 
 
 def exceptions_csv(exceptions: DataFrame, path: str) -> None:
@@ -31,8 +33,11 @@ def write_result(result: Result, path: str) -> None:
 
 
 def audit(result: Result) -> DataFrame:
-    """One row a decision: what was grouped, by which rules, and what was raised."""
-    g = result.groups.select(F.col("first_ord").alias("ord"), "stage", F.array_join("rules", "+").alias("rule"), F.col("entry_ids").alias("inputs"), F.lit("matched").alias("outcome"), "confidence")
+    """SK3, WN8: one row a decision, ``seq`` from 1: refusals, what was grouped and by which rules, what was raised."""
+    g = result.groups.select(F.col("first_ord").alias("ord"), "stage", F.array_join("rules", "+").alias("rule"), F.col("entry_ids").alias("inputs"), F.lit("matched").alias("outcome"), "confidence", F.concat(F.array_join("sources", "+"), F.lit(": "), "status").alias("rationale"))
     rule = F.when(F.col("category") == "duplicate", "duplicate-in-group@v1").otherwise("classify-residual@v1")
-    e = result.exceptions.select("ord", F.lit("structural").alias("stage"), rule.alias("rule"), F.array("id").alias("inputs"), F.lit("exception").alias("outcome"), F.col("conf").alias("confidence"))
-    return g.unionByName(e).withColumn("ts", F.current_timestamp())
+    e = result.exceptions.select("ord", F.lit("structural").alias("stage"), rule.alias("rule"), F.array("id").alias("inputs"), F.lit("exception").alias("outcome"), F.col("conf").alias("confidence"), "rationale")
+    rows = result.refused.unionByName(g).unionByName(e).withColumn("confidence", F.bround("confidence", 4))
+    # a written table keeps its rows' order numbers from one read to the next
+    rows = cut(rows, "audit").withColumn("_row", F.monotonically_increasing_id())
+    return numbered(rows).select((F.col("n") + 1).alias("seq"), F.current_timestamp().alias("ts"), "stage", "rule", "inputs", "outcome", "confidence", "rationale")

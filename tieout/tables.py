@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a new local one only where that is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where that is unset, a new local one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tieout-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
