@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.operators.graph import connected_components  # noqa: F401
 from tieout.tables import cut, discard, shared_dir  # noqa: F401
 
 #: A key is hot from this share of all rows on, one in PARTS.
@@ -37,36 +38,6 @@ def for_each_salt(side: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     return side.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("parts")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph by alternating large-star and small-star rounds.
-
-    edges: two long columns, read as (a, b). Returns (node, root) for each node with an edge to
-    another one; root is the component's smallest node. A hub costs one combined minimum and one
-    join whose skewed side Spark splits; no group is collected.
-    """
-    a, b = edges.columns[:2]
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(e)
-        e = new
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each node's component, for edges between nodes 0 to n-1 held in arrays."""
     root = np.arange(n)
