@@ -15,6 +15,7 @@ FAST = [
     "ingest_payments", "exact_reference_edges", "deduction_links", "over_refund", "candidate_pairs", "pair_scores", "near_amount_semi", "near_amount_anti", "pair_precision_recall",
     "value_precision", "worklist_merge", "worklist_events", "worklist_page", "worklist_summary", "connected_components", "split_batch", "money_summary",
     "rate_card_override", "refused_deductions", "plausible_groups", "run_aggregate", "money_shares", "top_categories",
+    "normalized_sources", "quality_branches", "referenced_pairs", "worklist_reopen", "queue_items",
 ]
 
 

@@ -687,3 +687,114 @@ def money_shares(spark, sf):
 @query(" SELECT source category, count(*) n FROM entries GROUP BY 1 ORDER BY n DESC, category LIMIT 6")
 def top_categories(spark, sf):
     return reports.top_categories(batch(spark, sf).withColumnRenamed("source", "category"))
+
+
+# ---- branches that the derived batch doesn't reach ------------------------------------------------
+
+
+def _text_of(c: str):
+    return F.col(c).cast("string")
+
+
+_TENTH = "CAST(g // 10 + 1 AS BIGINT)"
+
+
+@query(
+    f""" SELECT 'set_' || k id, 'settlement' source, g amount, d value_date, cur currency, 'UTR' || k reference, 'payout' narration, CAST(NULL AS VARCHAR) related, CASE WHEN k % 3 = 0 THEN 0 ELSE fee END fee, tax,
+      CASE WHEN k % 4 = 0 THEN 7::BIGINT END tds, k % 3 <> 0 fee_reported, CAST(NULL AS VARCHAR) dispute FROM base
+    UNION ALL SELECT 'bnk_' || k, 'bank', CASE WHEN k % 5 < 2 THEN -g ELSE g END, d, 'INR', CASE WHEN k % 2 = 0 THEN 'X' || k WHEN k % 3 = 0 THEN 'UTR' || (100000000 + k) END, CASE WHEN k % 3 = 0 THEN 'neft utr' || (100000000 + k) || ' in' ELSE 'cash' END, NULL, 0, 0, NULL, false, NULL FROM base
+    UNION ALL SELECT 'led_' || k, 'ledger', g, d, CASE WHEN k % 9 = 0 THEN 'USD' ELSE 'INR' END, CASE WHEN k % 2 = 1 THEN 'R' || k WHEN k % 3 = 0 THEN 'ORD' || (1000000 + k) END, CASE WHEN k % 3 = 0 THEN 'for ORD' || (1000000 + k) ELSE 'sale' END, NULL, 0, 0, NULL, false, NULL FROM base
+    UNION ALL SELECT 'rf_' || k, 'refund', {_TENTH}, d, cur, 'rf_' || k, 'processed', CASE WHEN k % 3 = 0 THEN 'ORD' || k ELSE 'pay_' || k END, 0, 0, NULL, false, NULL FROM base
+    UNION ALL SELECT 'cb_' || k, 'chargeback', {_TENTH}, d, 'EUR', 'cb_' || k, ['Under Review', 'WON', 'debited', 'odd'][k % 4 + 1], 'pay_' || k, 0, 0, NULL, false, ['under_review', 'won', 'lost', NULL][k % 4 + 1] FROM base"""
+)
+def normalized_sources(spark, sf):
+    """FN3 to FN8: exports of the five other sources through mapping, checks and normalising."""
+    b = _base(spark, sf)
+    k = lambda n, r=0: _k() % n == r
+    named = lambda p: F.concat(F.lit(p), _text())
+    day, amount, utr = F.date_format("d", "yyyy-MM-dd"), _text_of("g"), (_k() + 100_000_000).cast("string")
+    taken = (F.call_function("div", F.col("g"), F.lit(10)) + 1).cast("string")
+    order = F.concat(F.lit("ORD"), (_k() + 1_000_000).cast("string"))
+    tables = {
+        "settlement": {"Id": named("set_"), "Amount": amount, "Date": day, "Currency": F.col("cur"), "Fee": F.when(k(3), "").otherwise(_text_of("fee")), "Tax": _text_of("tax"), "TDS": F.when(k(4), "7").otherwise(""), "UTR": named("UTR")},
+        "bank": {"Id": named("bnk_"), "Amount": amount, "Value Date": day, "Type": F.when(k(5), "DR").when(k(5, 1), " debit ").when(k(5, 2), "CR").otherwise(""), "UTR": F.when(k(2), named("X")).otherwise("-"), "Narration": F.when(k(3), F.concat(F.lit("neft utr"), utr, F.lit(" in"))).otherwise("cash")},
+        "ledger": {"Id": named("led_"), "Amount": amount, "Date": day, "Currency": F.when(k(9), " usd").when(k(9, 1), "XYZ").otherwise("INR"), "Ref": F.when(k(2), "nan").otherwise(named("R")), "Description": F.when(k(3), F.concat(F.lit("for "), order)).otherwise("sale")},
+        "refund": {"Id": named("rf_"), "Amount": F.concat(F.when(k(2), "-").otherwise(""), taken), "Date": day, "Currency": F.col("cur"), "Payment Id": F.when(k(3), " ").otherwise(named("pay_")), "Ref": named("ORD"), "Status": F.lit("processed")},
+        "chargeback": {"Id": named("cb_"), "Amount": taken, "Date": day, "Currency": F.lit("EUR"), "Payment Id": named("pay_"), "Status": F.when(k(4), "Under Review").when(k(4, 1), "WON").when(k(4, 2), "debited").otherwise("odd")},
+    }
+    entries, _ = ingest.entries_of({s: b.select(*[c.alias(h) for h, c in columns.items()]) for s, columns in tables.items()})
+    return entries.select("id", "source", "amount", "value_date", "currency", "reference", "narration", "related", "fee", "tax", "tds", "fee_reported", "dispute")
+
+
+@query(
+    """, r AS (SELECT k, k % 40 = 0 blank, k % 40 <> 0 AND k % 3 = 0 unnamed FROM base), n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN unnamed THEN k // 60 ELSE -k - 1 END ORDER BY k) nth FROM r)
+    SELECT k, blank empty, NOT blank accepted, unnamed AND nth > 1 exported_twice, NOT blank AND k % 5 = 0 no_payment FROM n"""
+)
+def quality_branches(spark, sf):
+    """QV1, QV6, QV7: empty rows, rows without ids that were exported twice, refunds that name no payment."""
+    blank, unnamed, group = _k() % 40 == 0, _k() % 3 == 0, F.call_function("div", _k(), F.lit(60)).cast("string")
+    said = lambda c: F.when(blank, "").otherwise(c)
+    rows = _base(spark, sf).select(
+        _k().alias("_row"), said(F.when(unnamed, " ").otherwise(F.concat(F.lit("p"), _text()))).alias("id"), said(F.concat(group, F.lit("7"))).alias("amount"), F.lit(None).cast("double").alias("amount_major"),
+        said(F.lit("2024-01-31")).alias("date"), said(F.lit("INR")).alias("currency"), said(F.concat(F.when(_k() % 2 == 0, "R").otherwise(" r"), group)).alias("reference"), F.lit(None).cast("string").alias("narration"),
+        said(F.when(_k() % 5 == 0, "").otherwise("pay")).alias("payment_id"),
+    )
+    said_of = lambda p: F.exists("issues", lambda i: i.problem == p)
+    return quality.assess(rows, "refund").select(F.col("_row").alias("k"), "empty", "accepted", said_of("exported twice").alias("exported_twice"), said_of("names no payment").alias("no_payment"))
+
+
+@query(
+    """, x AS (SELECT 'b' || k id, 'bank' source, g amount, d value_date, cur || (k // 500) AS currency, CASE WHEN k % 12 = 3 THEN 'paid ord' || k ELSE 'transfer' END narration, CASE k % 6 WHEN 0 THEN ' ord' || k WHEN 3 THEN 'UTR' || k END reference, k + 20000000000000 ord FROM base
+      UNION ALL SELECT 'l' || k, 'ledger', g + (k % 3) * 50, d, cur || (k // 500), 'sale transfer', CASE WHEN k % 3 < 2 THEN 'ORD' || k END, k + 30000000000000 FROM base),
+    z AS (SELECT a.id a_id, b.id b_id, a.source s, b.source t, abs(a.amount - b.amount) gap, abs(a.value_date - b.value_date) n_days, lower(a.narration) an, lower(b.narration) bn, lower(trim(a.reference)) ar, lower(trim(b.reference)) br, count(*) OVER (PARTITION BY a.id) n
+      FROM x a JOIN x b ON a.currency = b.currency AND b.amount <= a.amount + greatest(2000, abs(a.amount) * 3 // 100) AND b.amount >= a.amount AND (b.amount > a.amount OR b.ord > a.ord)),
+    y AS (SELECT *, coalesce(ar = br, false) OR coalesce(contains(bn, ar), false) OR coalesce(contains(an, br), false) AS echoed, list_distinct(regexp_extract_all(concat_ws(' ', an, ar), '[a-z0-9]{3,}')) ta, list_distinct(regexp_extract_all(concat_ws(' ', bn, br), '[a-z0-9]{3,}')) tb
+      FROM z WHERE n <= 40 AND s <> t)
+    SELECT a_id, b_id, CAST(floor(100 * (0.55 * CASE WHEN gap <= 2 THEN 1.0 ELSE 0.6 END + 0.2 * CASE WHEN n_days <= 3 THEN 1.0 WHEN n_days <= 7 THEN 0.6 ELSE 0.2 END + 0.15 * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) + CASE WHEN echoed THEN 0.1 ELSE 0 END) + 0.001) AS BIGINT) score
+    FROM y WHERE ar IS NULL OR br IS NULL OR echoed"""
+)
+def referenced_pairs(spark, sf):
+    """PR4, PR5: residual pairs with references: those that agree or are quoted score higher, those that contradict are refused."""
+    b = _base(spark, sf).withColumn("cur", F.concat("cur", F.call_function("div", _k(), F.lit(500)).cast("string")))
+    side = lambda p, source, amount, narration, reference, at: b.select(F.concat(F.lit(p), _text()).alias("id"), F.lit(source).alias("source"), amount.alias("amount"), F.col("d").alias("value_date"), F.col("cur").alias("currency"), narration.alias("narration"), reference.alias("reference"), (_k() + at * SPAN).alias("ord"))
+    bank = side("b", "bank", F.col("g"), F.when(_k() % 12 == 3, F.concat(F.lit("paid ord"), _text())).otherwise("transfer"), F.when(_k() % 6 == 0, F.concat(F.lit(" ord"), _text())).when(_k() % 6 == 3, F.concat(F.lit("UTR"), _text())), 2)
+    ledger = side("l", "ledger", F.col("g") + _k() % 3 * 50, F.lit("sale transfer"), F.when(_k() % 3 < 2, F.concat(F.lit("ORD"), _text())), 3)
+    scored = resolver.score(resolver.candidate_pairs(as_entries(bank.unionByName(ledger))))
+    return scored.select("a_id", "b_id", F.floor(F.col("score") * 100 + 0.001).alias("score"))
+
+
+@query(
+    """, w AS (SELECT k, g, cur, ['open', 'investigating', 'resolved', 'written_off'][k % 4 + 1] was, k % 3 = 0 raised, k % 3 <> 0 AND k % 2 = 0 AND k % 4 < 2 gone FROM base)
+    SELECT 'pay_' || k || '|missing_in_bank|' || g || '|' || cur fingerprint, CASE WHEN raised AND was = 'resolved' THEN 'open' WHEN gone THEN 'resolved' ELSE was END status, CASE WHEN raised OR gone THEN 'r2' ELSE 'r1' END last_run, CAST(CASE WHEN raised THEN 2 ELSE 1 END AS BIGINT) times_seen FROM w"""
+)
+def worklist_reopen(spark, sf):
+    """ST2: a second run over items in every state."""
+    own = F.concat(F.lit("pay_"), _text())
+    b = _base(spark, sf)
+    items = b.select(
+        "k", own.alias("entry_id"), F.lit("payment").alias("source"), F.lit("missing_in_bank").alias("category"), F.col("g").alias("amount"), F.col("cur").alias("currency"), F.col("d").alias("value_date"), F.lit(0.6).alias("conf"), F.lit("unpaid").alias("rationale"),
+        fn.exception_key(own, F.lit("missing_in_bank"), F.col("g"), F.col("cur")).alias("fingerprint"),
+    )
+    first, _ = worklist.merge(spark.createDataFrame([], worklist.ITEM), items.drop("k"), b.select(own.alias("id")), "r1")
+    k = F.substring_index("entry_id", "_", -1).cast("long")
+    held = first.withColumn("status", F.when(k % 4 == 0, "open").when(k % 4 == 1, "investigating").when(k % 4 == 2, "resolved").otherwise("written_off"))
+    merged, _ = worklist.merge(held, items.where("k % 3 = 0").drop("k"), b.where("k % 2 = 0").select(own.alias("id")), "r2")
+    return merged.select("fingerprint", "status", "last_run", "times_seen")
+
+
+@query(
+    """, s AS (SELECT *, ['complete', 'payout_overdue', 'unbooked_payout', 'ambiguous_split', 'partial'][k % 5 + 1] status FROM base), q AS (SELECT 'bnk_' || k entry_id, 'bank' source, ['', 'missing_in_bank', 'missing_in_ledger', 'split_settlement', 'unknown'][k % 5 + 1] category, g, cur, d, 'bank+ledger: ' || status rationale FROM s WHERE status <> 'complete'
+      UNION ALL SELECT 'pay_' || k, 'payment', 'missing_in_bank', g, cur, d, 'unpaid' FROM base WHERE k % 10 = 0)
+    SELECT entry_id, source, category, g amount, d value_date, rationale, entry_id || '|' || category || '|' || g || '|' || cur fingerprint FROM q"""
+)
+def queue_items(spark, sf):
+    """SO6, CL4: exceptions, and groups whose loop isn't closed under their first id."""
+    b = _base(spark, sf)
+    named = lambda p: F.concat(F.lit(p), _text())
+    own = [F.col("g").alias("amount"), F.col("cur").alias("currency")]
+    status = F.when(_k() % 5 == 0, "complete").when(_k() % 5 == 1, "payout_overdue").when(_k() % 5 == 2, "unbooked_payout").when(_k() % 5 == 3, "ambiguous_split").otherwise("partial")
+    groups = b.select(F.array(named("led_"), named("bnk_")).alias("entry_ids"), F.array(F.lit("bank"), F.lit("ledger")).alias("sources"), *own, F.lit(0.9).alias("confidence"), status.alias("status"))
+    raised = b.where("k % 10 = 0").select(named("pay_").alias("id"), F.lit("payment").alias("source"), F.lit("missing_in_bank").alias("category"), *own, F.col("d").alias("value_date"), F.lit(0.6).alias("conf"), F.lit("unpaid").alias("rationale"))
+    legs = F.explode(F.array(F.struct(named("bnk_").alias("id"), F.lit("bank").alias("source"), _k().alias("ord")), F.struct(named("led_").alias("id"), F.lit("ledger").alias("source"), (_k() + SPAN).alias("ord")))).alias("e")
+    entries = b.select("d", legs).select("e.*", F.col("d").alias("value_date"))
+    return worklist.queue_items(raised, groups, entries).select("entry_id", "source", "category", "amount", "value_date", "rationale", "fingerprint")
