@@ -11,6 +11,7 @@ from .secrets import op3_secret_scan
 from .sentencepiece import op10_sentencepiece
 from .shards import op2_sharding
 from .simhash import op4_simhash_near_dedup
+from .spelling import op11_spelling_variants
 from .suffixes import op6_suffix_array_dedup
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_output,
         op10_sentencepiece,
+        op11_spelling_variants,
     )
 }
 
