@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE as CHAT
+from .chat import op12_chat_formatting
 from .decontaminate import op5_benchmark_decontamination
 from .gam import op8_quality_classifier
 from .hnsw import op7_embedding_near_dedup
@@ -28,8 +30,9 @@ QUERIES = {
         op9_token_output,
         op10_sentencepiece,
         op11_spelling_variants,
+        op12_chat_formatting,
     )
 }
 
-#: None of the ten can be put as SQL in full; each has a brute-force version in the tests.
-ORACLES: dict[str, str] = {}
+#: The others can't be put as SQL in full; each has a brute-force version in the tests.
+ORACLES: dict[str, str] = {"op12_chat_formatting": CHAT}
