@@ -9,6 +9,8 @@ from .gam import op8_quality_classifier
 from .hnsw import op7_embedding_near_dedup
 from .htmltext import op1_html_extraction
 from .huffman import op9_token_output
+from .ranking import ORACLE as RANKING
+from .ranking import op13_ranked_search
 from .secrets import op3_secret_scan
 from .sentencepiece import op10_sentencepiece
 from .shards import op2_sharding
@@ -31,8 +33,9 @@ QUERIES = {
         op10_sentencepiece,
         op11_spelling_variants,
         op12_chat_formatting,
+        op13_ranked_search,
     )
 }
 
 #: The others can't be put as SQL in full; each has a brute-force version in the tests.
-ORACLES: dict[str, str] = {"op12_chat_formatting": CHAT}
+ORACLES: dict[str, str] = {"op12_chat_formatting": CHAT, "op13_ranked_search": RANKING}
