@@ -5,11 +5,10 @@ blocks of BLOCK, packed as byte-sized varints, and each block's last document an
 unpacked. An impact depends on a term's count in a document and on the document's length, and is exact,
 so a block's largest impact times the term's weight bounds what the term adds to any document of the block.
 
-A query meets a segment as WAND does: terms stand at their next possible document, a prefix of them whose
-largest impacts reach the threshold sets the pivot, and block pointers move to it without unpacking. Where
-the blocks at the pivot can't reach the threshold together, all move past the nearest block's end. Where
-they can, the stretch of documents up to that end is scored; stretches that follow each other are scored
-in one go. Thresholds go on from segment to segment within a task; tasks' best are merged by rank.
+A query meets a segment in order of documents: its pivot is the next document where the blocks' largest
+impacts together reach the threshold, the score of its tenth best so far, and block pointers move to the
+pivot without unpacking what they pass. Only blocks at pivots are unpacked and scored. Thresholds go on
+from segment to segment within a task; tasks' best are merged by rank.
 
 Defined cases: null or empty texts have no terms and are in no result; items without a term that occurs
 have no row; repeated documents rank each, equal scores by doc_id, a null doc_id last; repeated items have
@@ -287,54 +286,34 @@ def _score(lists: list[_Postings], weights: np.ndarray, begin: int, end: int) ->
 
 
 def block_max_wand(lists: list[_Postings], weights: np.ndarray, ids: np.ndarray, best: _Best) -> None:
-    """Offer ``best`` all documents of a segment that may be among the best for terms of ``lists``."""
-    counts = [len(p.last) for p in lists]
-    stops = np.cumsum(counts)
-    starts, size = stops - counts, len(ids)
-    last, first = np.concatenate([p.last for p in lists]), np.concatenate([p.first for p in lists])
-    most = np.concatenate([p.most * w for p, w in zip(lists, weights.tolist())])
-    largest = np.maximum.reduceat(most, starts)
-    lane = np.arange(len(lists), dtype=np.int64) * (size + 1)
-    lanes = np.repeat(lane, counts) + last  # all lists' block ends in one rising row
-    at, begin, end, room = 0, 0, 0, STRETCH[0]  # documents from begin to end wait to be scored
-
-    def score():
-        found = _score(lists, weights, begin, end)
-        good = np.flatnonzero(found >= best.least)
-        if len(good):
-            best.offer(found[good], ids[begin + good])
-
-    while at < size:
-        b = np.searchsorted(lanes, lane + at)  # shallow: each list's block that ends at or after ``at``
-        live = np.flatnonzero(b < stops)
-        if not len(live):
+    """Offer ``best`` all documents of a segment that may be among the best for terms of ``lists``.
+
+    Blocks' borders cut the documents into stretches, in each of which the same blocks lie; the running sum
+    of their largest impacts bounds every document there. The pivot is the first document whose bound
+    reaches the threshold: pointers move there past all blocks before it, packed as they are. Lists of one
+    block are unpacked first, and stand at their documents.
+    """
+    spans = [(d, d, i) if len(p.last) == 1 else (p.first, p.last, p.most) for p in lists for d, i in [p.block(0) if len(p.last) == 1 else (None, None)]]
+    most = np.concatenate([m * w for (_, _, m), w in zip(spans, weights.tolist())])
+    borders = np.concatenate([s[0] for s in spans] + [s[1] + 1 for s in spans])
+    order = np.argsort(borders, kind="stable")
+    borders, bound = borders[order], np.cumsum(np.concatenate((most, -most))[order])
+    ends = np.flatnonzero(np.append(borders[1:] != borders[:-1], True))
+    borders, bound = borders[ends], bound[ends]
+    at, room = 0, STRETCH[0]
+    while at < len(borders):
+        open_ = np.flatnonzero(bound[at:] >= best.least) + at
+        if not len(open_):
             break
-        low = np.maximum(first[b[live]], at)
-        order = np.argsort(low, kind="stable")
-        reach = np.searchsorted(np.cumsum(largest[live[order]]), best.least)
-        if reach == len(live):
-            break  # not even all lists that are left can reach the threshold
-        pivot = int(low[order[reach]])
-        if pivot > at:
-            b = np.searchsorted(lanes, lane + pivot)
-            live = np.flatnonzero(b < stops)
-            low = np.maximum(first[b[live]], pivot)
-        here = low <= pivot
-        blocks = b[live[here]]
-        stop = int(last[blocks].min()) + 1
-        if not here.all():
-            stop = min(stop, int(low[~here].min()))
-        if most[blocks].sum() < best.least:
-            at = stop  # the blocks stay packed
-            continue
-        if pivot > end or stop - begin > room:
-            if end > begin:
-                score()
-                room = min(2 * room, STRETCH[1])
-            begin = pivot
-        end = at = stop
-    if end > begin:
-        score()
+        # stretches that follow each other and are open are scored in one go
+        run = int(np.argmax(np.append(open_[1:] != open_[:-1] + 1, True))) + 1
+        run = max(1, min(run, int(np.searchsorted(borders[open_[:run]], borders[open_[0]] + room))))
+        begin, at = int(borders[open_[0]]), int(open_[run - 1]) + 1
+        scores = _score(lists, weights, begin, int(borders[at]))
+        room = min(2 * room, STRETCH[1])
+        good = np.flatnonzero(scores >= best.least)
+        if len(good):
+            best.offer(scores[good], ids[begin + good])
 
 
 def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = TOP) -> DataFrame:
