@@ -29,8 +29,8 @@ from .common import by_run, cut, discard, longs
 BLOCK = 128
 TOP = 10
 #: Bytes of text in a segment, and of what is split into terms at a time.
-SEGMENT = 32 << 20
-SLICE = 4 << 20
+SEGMENT = 12 << 20
+SLICE = 2 << 20
 #: Term rows of the queries that are asked together, and up to which they are broadcast.
 ASKED = 1 << 16
 BROADCAST = 1 << 19
