@@ -4,14 +4,16 @@ import datetime as dt
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tieout.conf import Settings
 from tieout.functions import fees
+from tieout.operators import resolver, settlement, solver
 from tieout.operators.settlement import link_settlements
-from tieout.operators.solver import _sweep, propagate, subset_options
+from tieout.operators.solver import _sweep, contested_links, propagate, subset_options
 from tieout.operators.worklist import Worklist
 from tieout.plans.engine import reconcile
 from tieout.schema import ENTRY, as_entries
@@ -49,13 +51,54 @@ def test_an_empty_batch(spark):
     assert result.groups.count() == result.exceptions.count() == 0
 
 
-def test_sweep_and_subsets():
-    import pandas as pd
+def plain_sweep(rows, repeat):
+    """Anchors in order, each linked when it sees exactly one open unit, in passes until one links nothing."""
+    wishes, taken, links, again = {}, set(), {}, True
+    for a, u, e in rows:
+        wishes.setdefault(a, (set(), set()))[0 if e else 1].add(u)
+    while again:
+        again = False
+        for anchor in sorted(wishes.keys() - links.keys()):
+            exact, near = (w - taken for w in wishes[anchor])
+            open_ = exact or near
+            if len(open_) == 1:
+                links[anchor] = open_.pop()
+                taken.add(links[anchor])
+                again = repeat
+    return links
 
-    rows = pd.DataFrame({"anchor": [1, 2, 2, 3], "unit": [7, 7, 8, 8], "exact": [True] * 4})
-    assert dict(_sweep(rows, True)) == {1: 7, 2: 8}
-    pool = [(i, a, [D]) for i, a in enumerate([100, 200, 300, 300])]
-    assert set(subset_options(pool, 300, 3)) == {(0, 1)} and len(subset_options(pool, 600, 3)) == 3
+
+def random_candidates(rng, anchors, units):
+    return [(a, u, rng.random() < 0.5) for a in range(anchors) for u in rng.sample(range(units), rng.randint(1, 3))]
+
+
+def test_sweep_against_passes():
+    rng = random.Random(3)
+    for _ in range(2000):
+        rows = random_candidates(rng, rng.randint(1, 8), 8)
+        for repeat in (True, False):
+            assert dict(_sweep(*zip(*rows), repeat)) == plain_sweep(rows, repeat)
+
+
+@pytest.mark.parametrize("rounds", [24, 2])  # the second leaves most to whole components
+@pytest.mark.parametrize("repeat", [True, False])
+def test_contested_links_against_passes(spark, repeat, rounds):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(60):  # graphs of their own numbers, most of them one component
+        mine = [(a + 1000 * g, u + 1000 * g, e) for a, u, e in random_candidates(rng, rng.randint(2, 40), 40)]
+        rows += mine
+        want |= plain_sweep(mine, repeat)
+    got = contested_links(spark.createDataFrame(rows, "anchor long, unit long, exact boolean"), repeat, rounds).collect()
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_a_long_chain_of_anchors_is_no_component_of_one_task(spark):
+    """Amounts two apart chain all anchors together, but each has an exact unit: two rounds."""
+    n = 3000
+    rows = [(a, u, a == u) for a in range(n) for u in (a - 1, a, a + 1) if 0 <= u < n]
+    chosen, settled = solver._choices(spark.createDataFrame(rows, "anchor long, unit long, exact boolean"), 3)
+    assert settled and chosen.where("anchor = unit").count() == n
 
 
 def test_mapping_refuses_to_guess():
@@ -100,6 +143,45 @@ def test_subsets_against_brute_force():
     assert len(subset_options([(i, 100, [1]) for i in range(60)], 300, 6)) == 8
 
 
+def plain_subsets(pool, target, most, slack, limit, stop, budget):
+    """Every subset in turn, until as many as the budget have been looked at."""
+    usable = [u for u in pool if 0 < u[1] <= target + slack]
+    if len(usable) > limit:
+        return []
+    by_day, exact, near, seen = {}, [], [], set()
+    for unit in usable:
+        for day in sorted(unit[2]):
+            by_day.setdefault(day, []).append(unit)
+    for units in by_day.values():
+        units = sorted(units, key=lambda u: u[1])
+        for size in range(2, min(most, len(units)) + 1):
+            for subset in itertools.combinations(units, size):
+                budget -= 1
+                if budget <= 0:
+                    return exact or near
+                off, names = abs(sum(u[1] for u in subset) - target), tuple(u[0] for u in subset)
+                if off > slack or frozenset(names) in seen:
+                    continue
+                seen.add(frozenset(names))
+                (near if off else exact).append(names)
+                if len(exact) >= stop:
+                    return exact
+    return exact or near
+
+
+def test_subsets_up_to_the_budget_against_plain_enumeration():
+    rng = random.Random(6)
+    for i in range(120):
+        n = 60 if i % 3 == 0 else rng.randint(2, 60)
+        pool = [(u, rng.randint(1, rng.choice([30, 1000, 10**8])), rng.sample([1, 2, 3], rng.randint(1, 3))) for u in range(n)]
+        few = sorted(a for _, a, _ in pool)[: rng.randint(2, 6)] if i % 2 else [u[1] for u in rng.sample(pool, rng.randint(2, min(6, n)))]
+        rule = (sum(few) + rng.choice([0, 0, 1, 2, 5]), rng.choice([4, 6]), 2, 60, 8, 400_000 if i % 4 == 0 else rng.choice([10, 100, 5000, 50_000]))
+        assert subset_options(pool, *rule) == plain_subsets(pool, *rule)
+    # a day of 60 units, whose four smallest add up to the target: more subsets of four than the budget, this one the first of them
+    day = [(u, 1000 + 7 * u * u, [1]) for u in range(60)]
+    assert (0, 1, 2, 3) in subset_options(day, sum(a for _, a, _ in day[:4]), 6)
+
+
 def test_propagation_against_passes_in_order():
     rng = random.Random(5)
     for _ in range(1000):
@@ -120,8 +202,81 @@ def test_many_alike_are_refused_without_pairs(spark):
     sales = spark.range(n).selectExpr("concat('p', id) id", "'payment' source", "50000L amount", "date'2026-01-01' value_date", "concat('O', id) reference", "id ord")
     paid = spark.range(n).selectExpr("concat('s', id) id", "'settlement' source", "50000L amount", "date'2026-01-03' value_date", "concat('U', id) reference", f"id + {n} ord")
     batch = as_entries(sales.unionByName(paid).withColumns({"currency": F.lit("INR"), "fee": F.lit(0), "tax": F.lit(0)}))
-    links, _ = link_settlements(batch.withColumn("comp", F.col("ord")).withColumn("ref", F.col("reference")), subsets=False)
-    assert links.where("rule = 'payment-to-settlement@v1'").count() == 0
+    links, ambiguous = link_settlements(batch.withColumn("comp", F.col("ord")).withColumn("ref", F.col("reference")))
+    assert links.count() == 0
+    assert ambiguous.select("unit").distinct().count() == n and ambiguous.select("anchor").distinct().count() == n
+
+
+def test_many_that_fit_a_day_are_counted_before_they_meet(spark):
+    """20,000 amounts of one day and as many payouts, each above all of them: nothing may be gathered."""
+    n = 20_000
+    sales = spark.range(n).selectExpr("concat('p', id) id", "'payment' source", "70000L + 3 * id amount", "date'2026-01-01' value_date", "concat('O', id) reference", "id ord")
+    paid = spark.range(n).selectExpr("concat('s', id) id", "'settlement' source", "140001L + 3 * id amount", "date'2026-01-03' value_date", "concat('U', id) reference", f"id + {n} ord")
+    batch = as_entries(sales.unionByName(paid).withColumns({"currency": F.lit("INR"), "fee": F.lit(0), "tax": F.lit(0)})).withColumn("comp", F.col("ord")).withColumn("ref", F.col("reference"))
+    began = time.time()
+    links, ambiguous = link_settlements(batch)
+    assert links.count() == ambiguous.count() == 0 and time.time() - began < 60
+
+
+def plain_pools(anchors, sales, lag, limit):
+    out = {}
+    for a, when, target in anchors:
+        pool = sorted((min(d for d in days if abs((d - when).days + lag) <= 1), u, v) for u, v, days in sales if 0 < v <= target + 2 and any(abs((d - when).days + lag) <= 1 for d in days))
+        if 2 <= len(pool) <= limit:
+            out[a] = [(u, v) for _, u, v in pool]
+    return out
+
+
+def test_pools_against_each_pair(spark):
+    rng = random.Random(2)
+    day = lambda: D + dt.timedelta(rng.randint(0, 9))
+    sales = [(u, rng.randint(-2, 60), sorted({day() for _ in range(rng.randint(1, 3))})) for u in range(300)]
+    anchors = [(a, day(), rng.randint(1, 50)) for a in range(200)]
+    free = spark.createDataFrame([(u, u, "INR", v, d, d) for u, v, d in sales], "unit long, uord long, currency string, v long, pay_dates array<date>, dates array<date>")
+    rest = spark.createDataFrame([(a, "INR", w, t) for a, w, t in anchors], "anchor long, currency string, value_date date, target long").withColumn("start", F.date_sub("value_date", 3))
+    settings = Settings(pool=12)
+    pools = settlement._pools(rest, settlement._seen(free, "pay_dates", 2, lambda _: F.col("v")), settings)
+    assert {r.anchor: [(u.unit, u.amount) for u in r.pool] for r in pools.collect()} == plain_pools(anchors, sales, 2, 12)
+
+
+def test_candidate_pairs_against_each_pair(spark):
+    rng = random.Random(7)
+    rows = [(f"e{i}", rng.choice(["bank", "ledger"]), rng.choice([-1, 1]) * rng.choice([rng.randint(1, 3000), rng.randint(10**5, 3 * 10**5), 777]), D, f"r{i}") for i in range(400)]
+    batch = entries(spark, rows)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][2], i))
+    want = set()
+    for at, i in enumerate(order):
+        reach = max(2000, abs(rows[i][2]) * 3 // 100)
+        window = [j for j in order[at + 1 :] if rows[j][2] <= rows[i][2] + reach]
+        if len(window) <= 40:
+            want |= {(rows[i][0], rows[j][0]) for j in window if rows[i][1] != rows[j][1]}
+    got = resolver.candidate_pairs(batch).select("a_id", "b_id").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) > 100
+
+
+def plain_greedy(pairs):
+    used, out = set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in used and b not in used:
+            used |= {a, b}
+            out.add((a, b, s))
+    return out
+
+
+def test_greedy_pairs_against_one_pass(spark):
+    rng = random.Random(12)
+    pairs = [(f"a{i}", f"b{j}", rng.choice([0.75, 0.8, 0.85, 0.9, 0.95])) for i in range(300) for j in rng.sample(range(300), 4)]
+    pairs += [(f"c{i}", f"c{i + 1:05}" if i % 2 else f"c{i + 1}", 0.99 - i / 10**5) for i in range(500)]
+    frame = spark.createDataFrame(pairs, "a_id string, b_id string, score double")
+    got = resolver.greedy_pairs(frame).collect()
+    assert set(map(tuple, got)) == plain_greedy(pairs) and len(got) == len(plain_greedy(pairs))
+
+
+def test_a_chain_of_falling_scores_takes_one_round(spark):
+    n = 4000
+    pairs = spark.range(n).selectExpr("concat('e', id) a_id", "concat('e', id + 1) b_id", "0.99 - id / 100000 score").withColumn("score", F.col("score").cast("double"))
+    won = resolver._settled(pairs)  # a single round settles the whole chain: every second pair
+    assert won.count() == n // 2 and won.where("cast(substr(a_id, 2) as int) % 2 = 1").count() == 0
 
 
 def test_rate_card_override(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.conf import Settings
@@ -43,34 +43,50 @@ def _near(anchors: DataFrame, pool: DataFrame, shift: int, slack: int) -> DataFr
     return pairs.where(F.abs(F.col("value") - F.col("target")) <= slack).drop("day", "bucket").dropDuplicates(["anchor", "unit"])
 
 
-def _crowd_filter(anchors: DataFrame, pool: DataFrame, shift: int, limit: int) -> DataFrame:
-    """Anchors that may have at most ``limit`` usable units in their window.
+def _seen(free: DataFrame, days: str, shift: int, value) -> DataFrame:
+    """Units (unit, uord, currency, dates, ...) by each window of three days, known by its first, that a day of theirs lies in.
 
-    Units are counted by day and power of two of their amount; an anchor for which the whole steps
-    below its target already hold more than the limit is out, before any pair is made.
+    A window belongs to payouts of one date, ``start + shift + 1``; ``value`` gives a unit's amount as of it.
     """
-    step = F.floor(F.log2(F.greatest(F.col("value"), F.lit(1)))).cast("int")
-    pool = pool.where(F.size("events") == 0) if "events" in pool.columns else pool  # a deduction can only lower an amount
-    once = pool.groupBy("currency", "unit").agg(F.min("day").alias("day"), F.first("value").alias("value")).where("value > 0")
-    counts = once.withColumn("step", step).groupBy("currency", "day", "step").agg(F.count("*").alias("n"))
-    steps = counts.groupBy("currency", "day").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("steps"))
-    limit_step = F.floor(F.log2(F.greatest(F.col("target"), F.lit(1)))).cast("int")
-    seen = _window(anchors, shift).join(steps, ["currency", "day"], "left")
-    below = F.aggregate(F.map_values(F.map_filter("steps", lambda k, _: k < limit_step)), F.lit(0).cast("long"), lambda a, n: a + n)
-    few = seen.groupBy("anchor").agg(F.sum(F.coalesce(below, F.lit(0))).alias("n")).where(F.col("n") <= limit).select("anchor")
-    return anchors.join(few, "anchor", "left_semi")
-
-
-def _pools(anchors: DataFrame, pool: DataFrame, shift: int, value: Column, settings: Settings, not_own: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pools for the subset search, singles): pools of anchors without a single exact unit, and those single units."""
-    rows = _window(anchors, shift).join(pool, ["currency", "day"])
-    if not_own:
-        rows = rows.where("comp <> unit")
-    rows = rows.withColumn("value", value).where(F.col("value").between(1, F.col("target") + settings.slack)).dropDuplicates(["anchor", "unit"])
-    singles = rows.where("value = target").select("anchor", "unit")
-    pools = rows.join(singles.select("anchor").distinct(), "anchor", "left_anti")
-    pools = pools.groupBy("anchor").agg(F.first("target").alias("target"), F.sort_array(F.collect_list(F.struct("uord", "unit", F.col("value").alias("amount"), F.col("dates").alias("days")))).alias("pool"))
-    return pools.where(F.size("pool").between(2, settings.pool)), singles
+    starts = F.array_distinct(F.flatten(F.transform(days, lambda d: F.sequence(F.date_sub(d, 2), d))))
+    rows = free.withColumn("start", F.explode(starts)).withColumn("value", value(F.date_add("start", shift + 1)))
+    first = F.array_min(F.filter(days, lambda d: d.between(F.col("start"), F.date_add("start", 2))))
+    return rows.select("currency", "start", "value", first.alias("first"), "uord", "unit", F.array_sort("dates").alias("days"))
+
+
+def _pools(anchors: DataFrame, seen: DataFrame, settings: Settings) -> DataFrame:
+    """(anchor, target, pool): units that a subset may use, for anchors that have two to ``settings.pool`` of them.
+
+    Usable are all amounts from 1 to the target, the smallest of a window, so the first few of each window
+    tell both which anchors have too many and what the others' pools hold. Spark keeps those few before it
+    shuffles; an anchor meets one row.
+    """
+    smallest = F.row_number().over(Window.partitionBy("currency", "start").orderBy("value", "uord"))
+    few = seen.where("value > 0").withColumn("nth", smallest).where(F.col("nth") <= settings.pool + 1)
+    unit = F.struct("first", "uord", "unit", F.col("value").alias("amount"), "days")
+    held = few.groupBy("currency", "start").agg(F.sort_array(F.collect_list(unit)).alias("held"))
+    pools = anchors.join(held, ["currency", "start"]).select("anchor", "target", F.filter("held", lambda u: u.amount <= F.col("target") + settings.slack).alias("pool"))
+    return pools.where(F.size("pool").between(2, settings.pool))
+
+
+def _singles(anchors: DataFrame, seen: DataFrame) -> DataFrame:
+    """(anchor, target, ..., n, unit): anchors with a unit of exactly their target in their window, how many there are, and the first."""
+    alike = seen.groupBy("currency", "start", F.col("value").alias("target")).agg(F.count("*").alias("n"), F.min("unit").alias("unit"))
+    return anchors.select("anchor", "currency", "start", "target").join(alike, ["currency", "start", "target"])
+
+
+def _ambiguous_singles(singles: DataFrame, seen: DataFrame, settings: Settings) -> DataFrame:
+    """(anchor, unit) of anchors with several exact units.
+
+    Of more than ``settings.pool`` alike units each is named once, by the first of their anchors, and the
+    other anchors name the first unit; else n anchors would name n units each.
+    """
+    key = ["currency", "start", "target"]
+    units_ = seen.select("currency", "start", F.col("value").alias("target"), F.col("unit").alias("each"))
+    few = singles.where(F.col("n").between(2, settings.pool)).join(units_, key).select("anchor", F.col("each").alias("unit"))
+    many = singles.where(F.col("n") > settings.pool)
+    heads = many.groupBy(*key).agg(F.min("anchor").alias("anchor")).join(units_, key).select("anchor", F.col("each").alias("unit"))
+    return few.unionByName(heads).unionByName(many.select("anchor", "unit")).distinct()
 
 
 def relabel(clustered: DataFrame, links: DataFrame) -> DataFrame:
@@ -86,7 +102,6 @@ def link_settlements(clustered: DataFrame, settings: Settings = Settings(), subs
     table = cut(units(clustered), "units")
     anchors = cut(_anchors(clustered, "settlement", table, "payment", settlement_target()), "anchors")
     free = table.where(has("payment") & ~has("settlement")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", "gross", "base_gross", "events", "pay_dates", "dates")
-    pool = free.withColumn("day", F.explode("pay_dates"))
     sales = one_of_alike(free.select("unit", "currency", "pay_dates", F.col("gross").alias("value")), ["currency", "pay_dates", "value"])
     near = _near(anchors.select("anchor", "currency", "value_date", "target"), sales.withColumn("day", F.explode("pay_dates")), settings.lag_days, settings.slack)
     direct = cut(unique_links(near.select("anchor", "unit", (F.col("value") == F.col("target")).alias("exact"), "crowd")), "links")
@@ -94,18 +109,15 @@ def link_settlements(clustered: DataFrame, settings: Settings = Settings(), subs
     ambiguous = None
     rest = anchors.join(direct, "anchor", "left_anti")
     free = free.join(direct.select("unit"), "unit", "left_anti")
-    pool = free.withColumn("day", F.explode("pay_dates"))
     if subsets:
-        value = gross_as_of(F.col("value_date"))
-        few = _crowd_filter(rest, pool.withColumn("value", F.col("base_gross")), settings.lag_days, settings.pool)
-        pools, _ = _pools(few, pool, settings.lag_days, value, settings)
-        # the same-day single question is asked of every anchor, crowded or not, by an equi-join
-        same = _exact_as_of(rest, pool, settings)
-        pools = pools.join(same.select("anchor").distinct(), "anchor", "left_anti")
-        many = same.groupBy("anchor").agg(F.collect_set("unit").alias("units")).where("size(units) > 1").select("anchor", F.explode("units").alias("unit"))
+        rest = cut(rest.withColumn("start", F.date_sub("value_date", settings.lag_days + 1)), "rest")
+        seen = cut(_seen(free, "pay_dates", settings.lag_days, gross_as_of), "seen")
+        singles = cut(_singles(rest, seen), "singles")
+        many = _ambiguous_singles(singles, seen, settings).select("anchor", "unit", F.lit("ambiguous-single@v1").alias("rule"))
+        pools = _pools(rest.join(singles, "anchor", "left_anti"), seen, settings)
         found = cut(assign_subsets(pools, settings.split_size, settings.slack, settings.pool, settings.candidates, settings.combinations), "subsets")
         links = links.unionByName(found.where("decided").select("anchor", "unit", F.lit("split-settlement@v1").alias("rule"), F.lit(0.92).alias("conf")))
-        ambiguous = many.select("anchor", "unit", F.lit("ambiguous-single@v1").alias("rule")).unionByName(found.where("not decided").select("anchor", "unit", F.lit("ambiguous-split@v1").alias("rule")))
+        ambiguous = many.unionByName(found.where("not decided").select("anchor", "unit", F.lit("ambiguous-split@v1").alias("rule")))
         rest = rest.join(found.where("decided").select("anchor").distinct(), "anchor", "left_anti")
         free = free.join(found.where("decided").select("unit"), "unit", "left_anti")
     late = unique_links(late_candidates(rest, free, settings), repeat=False)
@@ -121,13 +133,6 @@ def _as_of_rows(free: DataFrame) -> DataFrame:
     return rows.withColumn("value", gross_as_of(F.col("valid_from"))).drop("starts", "i")
 
 
-def _exact_as_of(anchors: DataFrame, pool: DataFrame, settings: Settings) -> DataFrame:
-    """(anchor, unit) in the date window whose gross as of the payout equals the target."""
-    rows = _as_of_rows(pool.drop("value") if "value" in pool.columns else pool)
-    pairs = _window(anchors, settings.lag_days).join(rows.withColumnRenamed("value", "target"), ["currency", "day", "target"])
-    return pairs.where("value_date >= valid_from and (valid_to is null or value_date < valid_to)").select("anchor", "unit").distinct()
-
-
 def late_candidates(anchors: DataFrame, free: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """JN9: as-of join of payouts to units paid up to ``max_payout_lag_days`` before, exact amounts only."""
     # days in stretches of the longest lag: a sale lies in the payout's stretch or the one before it
@@ -146,7 +151,6 @@ def link_banks(clustered: DataFrame, settings: Settings = Settings(), subsets: b
     table = cut(units(clustered), "units")
     anchors = cut(_anchors(clustered.where("source <> 'bank' or amount > 0"), "bank", table, "settlement", F.col("amount")), "anchors")
     free = table.where(has("settlement") & ~has("bank")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), F.array_sort("refs").alias("refs"), "setl_dates", "dates")
-    pool = free.withColumn("day", F.explode("setl_dates"))
     # an anchor lacks a payout and a unit has one, so no unit is an anchor's own component
     payouts = one_of_alike(free.select("unit", "currency", "value", "setl_dates", "refs"), ["currency", "value", "setl_dates", "refs"])
     near = _near(anchors.select("anchor", "currency", "value_date", "target", "reference"), payouts.withColumn("day", F.explode("setl_dates")), 0, 0)
@@ -155,12 +159,10 @@ def link_banks(clustered: DataFrame, settings: Settings = Settings(), subsets: b
     links = direct.select("anchor", "unit", F.lit("bank-to-settlement@v1").alias("rule"), F.lit(0.96).alias("conf"))
     if not subsets:
         return links
-    rest = anchors.join(direct, "anchor", "left_anti")
-    pool = pool.join(direct.select("unit"), "unit", "left_anti")
-    few = _crowd_filter(rest, pool, 0, settings.pool)
-    same = _window(rest, 0).join(pool.withColumnRenamed("value", "target"), ["currency", "day", "target"]).where("comp <> unit").select("anchor").distinct()
-    pools, _ = _pools(few, pool, 0, F.col("value"), settings, not_own=True)
-    pools = pools.join(same, "anchor", "left_anti")
+    rest = anchors.join(direct, "anchor", "left_anti").withColumn("start", F.date_sub("value_date", 1))
+    free = free.join(direct.select("unit"), "unit", "left_anti")
+    seen = cut(_seen(free, "setl_dates", 0, lambda _: F.col("value")), "seen")
+    pools = _pools(rest.join(_singles(rest, seen), "anchor", "left_anti"), seen, settings)
     found = assign_subsets(pools, settings.merge_size, settings.slack, settings.pool, settings.candidates, settings.combinations)
     return links.unionByName(found.where("decided").select("anchor", "unit", F.lit("merged-bank-credit@v1").alias("rule"), F.lit(0.9).alias("conf")))
 
