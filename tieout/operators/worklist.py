@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.functions.scalars import exception_key, priority
+from tieout.tables import cut, discard
 
 # States and what may follow each.
 TRANSITIONS = {
@@ -106,67 +109,151 @@ def record_run(path: str, run: str, batch: DataFrame, metrics: DataFrame) -> Non
     digest.join(metrics).select(F.lit(run).alias("run"), F.current_timestamp().alias("ts"), "digest", *metrics.columns).write.mode("append").parquet(path)
 
 
+EVENT = "fingerprint string, event string, run string, from_status string, to_status string, body string"
+#: Logged versions after which a commit writes the whole list anew.
+COMPACT = 16
+#: Times that a change is worked out again because others' changes came first.
+RETRIES = 20
+
+
+class Conflict(RuntimeError):
+    """Another change took the version that this one was to be."""
+
+
 class Worklist:
-    """Versions of the worklist in a folder: each change writes whole new tables, then moves the pointer, so readers see all or nothing."""
+    """The worklist as a log of versions in a folder.
+
+    A version is a folder of its events and either the items it changed or, now and then, all items. A
+    change is worked out from the versions so far, written aside, and moved to the next number; the move
+    fails where that number is taken, and the change is then worked out again from what is there now. So
+    readers see whole versions only, no change is lost, and changing an item writes one row.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _versions(self) -> list[int]:
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
-            return []
-        return sorted(int(n[2:]) for s in fs.listStatus(root) if (n := s.getPath().getName()).startswith("v="))
+    def _names(self, name: str = "") -> list[str]:
+        where = self._path(name)
+        fs = where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    def items(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}/items") if versions else self.spark.createDataFrame([], ITEM)
-
-    def history(self) -> DataFrame:
-        """ST6, SL4: all events, each with its version, which orders them."""
+    def _versions(self) -> list[int]:
+        return sorted(int(n[2:]) for n in self._names() if n.startswith("v="))
+
+    def items(self, upto: int | None = None) -> DataFrame:
+        """All items as of a version, the last one if none is given."""
+        versions = [v for v in self._versions() if upto is None or v <= upto]
+        whole = next((v for v in reversed(versions) if "items" in self._names(f"v={v}")), None)
+        changed = [f"{self.path}/v={v}/changes" for v in versions if whole is None or v > whole]
+        if whole is None and not changed:
+            return self.spark.createDataFrame([], ITEM)
+        base = self.spark.read.schema(ITEM).parquet(f"{self.path}/v={whole}/items") if whole is not None else None
+        if not changed:
+            return base
+        version = F.regexp_extract("_metadata.file_path", "/v=(\\d+)/changes", 1).cast("int")
+        changes = self.spark.read.schema(ITEM).parquet(*changed).withColumn("_v", version)
+        last = changes.groupBy("fingerprint").agg(F.max_by(F.struct(*[c for c in changes.columns if c not in ("fingerprint", "_v")]), "_v").alias("last")).select("fingerprint", "last.*")
+        return last if base is None else base.join(changes.select("fingerprint"), "fingerprint", "left_anti").unionByName(last)
+
+    def history(self, fingerprint: str | None = None) -> DataFrame:
+        """ST6, SL4: events, of one item or all, each with its version, which orders them."""
         versions = self._versions()
-        kind = "fingerprint string, event string, run string, from_status string, to_status string, body string, v int"
         if not versions:
-            return self.spark.createDataFrame([], kind)
-        from_ = F.regexp_extract("_metadata.file_path", "/v=(\\d+)/events", 1).cast("int").alias("v")
-        return self.spark.read.schema(kind.removesuffix(", v int")).parquet(*[f"{self.path}/v={v}/events" for v in versions]).select("*", from_)
-
-    def runs(self) -> list[int]:
-        return self._versions()[::-1]
-
-    def _commit(self, items: DataFrame, events: DataFrame) -> None:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        version = (self._versions() or [0])[-1] + 1
-        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        items.write.parquet(f"{staged}/items")
-        (events if "body" in events.columns else events.withColumn("body", F.lit(None).cast("string"))).write.parquet(f"{staged}/events")
-        if not fs.rename(path(staged), path(f"{self.path}/v={version}")):
-            raise RuntimeError(f"version {version} was written by another run")
+            return self.spark.createDataFrame([], f"{EVENT}, v int")
+        version = F.regexp_extract("_metadata.file_path", "/v=(\\d+)/events", 1).cast("int").alias("v")
+        events = self.spark.read.schema(EVENT).parquet(*[f"{self.path}/v={v}/events" for v in versions]).select("*", version)
+        return events if fingerprint is None else events.where(F.col("fingerprint") == fingerprint).orderBy("v")
+
+    def runs(self, limit: int = 50) -> DataFrame:
+        """SL3, SL5: runs recorded by :meth:`record`, newest first, 1 to 200 of them: (run, v, events)."""
+        kept = self.history().where("run is not null and event <> 'assign'").groupBy("run").agg(F.min("v").alias("v"), F.count("*").alias("events"))
+        return kept.orderBy(F.desc("v")).limit(min(max(1, limit), 200))
+
+    def _commit(self, read: int, changes: DataFrame, events: DataFrame, whole: bool = False) -> int:
+        """Write the version after ``read``, or raise Conflict where there is one."""
+        staged = f"_staged-{uuid.uuid4().hex}"
+        changes.write.parquet(f"{self.path}/{staged}/{'items' if whole else 'changes'}")
+        (events if "body" in events.columns else events.withColumn("body", F.lit(None).cast("string"))).select(*[f.split()[0] for f in EVENT.split(", ")]).write.parquet(f"{self.path}/{staged}/events")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        plain = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # don't overwrite
+        try:
+            files.rename(self._path(staged), self._path(f"v={read + 1}"), plain)
+        except Py4JJavaError as e:
+            files.delete(self._path(staged), True)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or read + 1 in self._versions():
+                raise Conflict(f"version {read + 1} was written by another change") from e
+            raise
+        return read + 1
+
+    def _change(self, work: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> int:
+        """Commit what ``work`` makes of the items, (changed items, events), as often as it takes to be next."""
+        for _ in range(RETRIES):
+            versions = self._versions()
+            read = versions[-1] if versions else 0
+            try:
+                made = self._commit(read, *work(self.items(read)))
+            except Conflict:
+                continue
+            if made % COMPACT == 0:
+                self.compact()
+            return made
+        raise Conflict(f"no luck in {RETRIES} tries")
+
+    def compact(self) -> None:
+        """Write all items as the next version, unless another change comes first; earlier versions stay for the history."""
+        read = (self._versions() or [0])[-1]
+        try:
+            self._commit(read, self.items(read), self.spark.createDataFrame([], EVENT), whole=True)
+        except Conflict:
+            pass  # whoever came first will, or the next change does
 
     def record(self, exceptions: DataFrame, groups: DataFrame, entries: DataFrame, run: str | None = None) -> str:
+        """ST1 to ST3: merge what a run raised; only items that it touched are written."""
         run = run or uuid.uuid4().hex[:12]
-        self._commit(*merge(self.items(), queue_items(exceptions, groups, entries), entries, run))
+        raised = cut(queue_items(exceptions, groups, entries), "raised")
+
+        def work(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+            merged, events = merge(items, raised, entries, run)
+            return merged.where(F.col("last_run") == run), events
+
+        self._change(work)
+        discard(raised)
         return run
 
-    def move(self, fingerprint: str, status: str, note: str | None = None, assignee: str | None = None) -> None:
-        """ST4, ST5: change an item's state, note or assignee; a step that TRANSITIONS lacks raises."""
-        items = self.items()
-        held = items.where(F.col("fingerprint") == fingerprint).select("status").first()
-        if held is None:
-            raise KeyError(fingerprint)
-        if status != held[0] and status not in TRANSITIONS.get(held[0], ()):
-            raise ValueError(f"{held[0]} can't become {status}")
-        mine = F.col("fingerprint") == fingerprint
-        new = items.withColumn("status", F.when(mine, F.lit(status)).otherwise(F.col("status")))
-        if assignee is not None:
-            new = new.withColumn("assignee", F.when(mine, F.lit(assignee)).otherwise(F.col("assignee")))
-        kind = "status" if status != held[0] else "note"
-        event = self.spark.createDataFrame([(fingerprint, kind, None, held[0], status, (note or "")[:4000])], "fingerprint string, event string, run string, from_status string, to_status string, body string")
-        self._commit(new.select(items.columns), event)
+    def _one(self, fingerprint: str, event: Callable[[str], tuple[str, str | None]], **values: str | None) -> None:
+        """Change one item: one row of items, one event. event(status) gives its kind and body."""
+
+        def work(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+            mine = items.where(F.col("fingerprint") == fingerprint)
+            held = mine.select("status").first()
+            if held is None:
+                raise KeyError(fingerprint)
+            kind, body = event(held[0])
+            new = mine.withColumns({c: F.lit(v).cast("string") for c, v in values.items()})
+            return new.select(mine.columns), self.spark.createDataFrame([(fingerprint, kind, None, held[0], values.get("status", held[0]), body)], EVENT)
+
+        self._change(work)
+
+    def move(self, fingerprint: str, status: str, reason: str | None = None) -> None:
+        """ST4: another state; a step that TRANSITIONS lacks raises, whatever changed in between."""
+
+        def event(held: str) -> tuple[str, str | None]:
+            if status not in TRANSITIONS or status != held and status not in TRANSITIONS[held]:
+                raise ValueError(f"{held} can't become {status}")
+            return "status", reason
+
+        self._one(fingerprint, event, status=status)
+
+    def note(self, fingerprint: str, body: str) -> None:
+        """ST5: a note of at most 4,000 characters."""
+        if not (body or "").strip():
+            raise ValueError("the note is empty")
+        self._one(fingerprint, lambda _: ("note", body.strip()[:4000]))
+
+    def assign(self, fingerprint: str, assignee: str | None) -> None:
+        """ST5: who works on an item; None for nobody."""
+        self._one(fingerprint, lambda _: ("assign", f"assigned to {assignee}" if assignee else "unassigned"), assignee=assignee or None)
