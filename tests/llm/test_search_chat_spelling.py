@@ -275,9 +275,9 @@ def test_blocks_below_the_threshold_stay_packed():
             lists.append(ranking._Postings(*(np.array(r[c], np.int64) for c in ("last", "most", "ends")), np.frombuffer(r["data"], np.uint8), norm))
             weights.append(1000 if r["n"] < 100 else 3)
     best = ranking._Best(10)
-    ranking.block_max_wand(lists, np.array(weights), np.arange(20000), best)
+    ranking.block_max_wand(lists, weights, np.arange(20000), best)
     assert sum(len(p.open) for p in lists) < sum(len(p.last) for p in lists) / 4
-    scores = ranking._score(lists, np.array(weights), 0, 20000)
+    scores = ranking._score(lists, weights, 0, 20000)
     order = np.lexsort((np.arange(20000), -scores))[:10]
     assert best.ids.tolist() == order.tolist() and best.scores.tolist() == scores[order].tolist()
 

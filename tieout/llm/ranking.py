@@ -35,9 +35,10 @@ SLICE = 2 << 20
 ASKED = 1 << 16
 BROADCAST = 1 << 19
 #: Documents of a stretch that is scored in one go: at first few, so that thresholds rise early, then twice as many each time.
-STRETCH = (256, 8192)
+STRETCH = (512, 8192)
 #: Stands for a null doc_id: no document ranks behind it.
 NO_ID = (1 << 63) - 1
+NONE = np.zeros(0, np.int64)
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -241,6 +242,7 @@ class _Postings:
         self.last, self.most, self.ends, self.data, self.norm = last, most, np.concatenate(([0], ends)), data, norm
         self.first = np.concatenate(([0], last[:-1] + 1))
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.whole: tuple[np.ndarray, np.ndarray] | None = None
 
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, impacts) of block ``b``."""
@@ -249,8 +251,18 @@ class _Postings:
             half = len(values) // 2
             docs = np.cumsum(values[:half] + 1) + (self.last[b - 1] if b else -1)
             self.open[b] = docs, impact(values[half:] + 1, self.norm[docs])
+            if len(self.open) == len(self.last):
+                self.whole = tuple(np.concatenate([self.open[i][k] for i in range(len(self.last))]) for k in (0, 1))
         return self.open[b]
 
+    def between(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, impacts) from ``begin`` to ``end``, end not included."""
+        blocks = () if self.whole else range(int(self.last.searchsorted(begin)), int(self.first.searchsorted(end)))
+        parts = [self.block(b) for b in blocks]
+        docs, impacts = self.whole or (parts[0] if len(parts) == 1 else [np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*parts)] or (NONE, NONE))
+        i, j = docs.searchsorted((begin, end))
+        return docs[i:j], impacts[i:j]
+
 
 class _Best:
     """The best documents of an item so far."""
@@ -272,20 +284,28 @@ class _Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
-def _score(lists: list[_Postings], weights: np.ndarray, begin: int, end: int) -> np.ndarray:
+def _score(lists: list[_Postings], weights: list[int], begin: int, end: int) -> np.ndarray:
     """Scores of the documents from ``begin`` to ``end``, end not included."""
     out = np.zeros(end - begin, np.int64)
-    for postings, weight in zip(lists, weights.tolist()):
-        b = int(np.searchsorted(postings.last, begin))
-        while b < len(postings.last) and postings.first[b] < end:
-            docs, impacts = postings.block(b)
-            i, j = np.searchsorted(docs, (begin, end))
-            out[docs[i:j] - begin] += weight * impacts[i:j]
-            b += 1
+    for postings, weight in zip(lists, weights):
+        docs, impacts = postings.between(begin, end)
+        out[docs - begin] += weight * impacts
     return out
 
 
-def block_max_wand(lists: list[_Postings], weights: np.ndarray, ids: np.ndarray, best: _Best) -> None:
+def _joined(lists: list[_Postings], weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of lists of one block, unpacked and added up."""
+    if not lists:
+        return NONE, NONE
+    docs = np.concatenate([p.block(0)[0] for p in lists])
+    scores = np.concatenate([w * p.block(0)[1] for p, w in zip(lists, weights)])
+    order = np.argsort(docs, kind="stable")
+    docs, scores = docs[order], scores[order]
+    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    return docs[first], np.add.reduceat(scores, first)
+
+
+def block_max_wand(lists: list[_Postings], weights: list[int], ids: np.ndarray, best: _Best) -> None:
     """Offer ``best`` all documents of a segment that may be among the best for terms of ``lists``.
 
     Blocks' borders cut the documents into stretches, in each of which the same blocks lie; the running sum
@@ -293,9 +313,11 @@ def block_max_wand(lists: list[_Postings], weights: np.ndarray, ids: np.ndarray,
     reaches the threshold: pointers move there past all blocks before it, packed as they are. Lists of one
     block are unpacked first, and stand at their documents.
     """
-    spans = [(d, d, i) if len(p.last) == 1 else (p.first, p.last, p.most) for p in lists for d, i in [p.block(0) if len(p.last) == 1 else (None, None)]]
-    most = np.concatenate([m * w for (_, _, m), w in zip(spans, weights.tolist())])
-    borders = np.concatenate([s[0] for s in spans] + [s[1] + 1 for s in spans])
+    rare, common = ([(p, w) for p, w in zip(lists, weights) if (len(p.last) == 1) == one] for one in (True, False))
+    docs, scores = _joined([p for p, _ in rare], [w for _, w in rare])
+    lists, weights = [p for p, _ in common], [w for _, w in common]
+    most = np.concatenate([scores, *(p.most * w for p, w in common)])
+    borders = np.concatenate([docs, *(p.first for p in lists), docs + 1, *(p.last + 1 for p in lists)])
     order = np.argsort(borders, kind="stable")
     borders, bound = borders[order], np.cumsum(np.concatenate((most, -most))[order])
     ends = np.flatnonzero(np.append(borders[1:] != borders[:-1], True))
@@ -307,13 +329,16 @@ def block_max_wand(lists: list[_Postings], weights: np.ndarray, ids: np.ndarray,
             break
         # stretches that follow each other and are open are scored in one go
         run = int(np.argmax(np.append(open_[1:] != open_[:-1] + 1, True))) + 1
-        run = max(1, min(run, int(np.searchsorted(borders[open_[:run]], borders[open_[0]] + room))))
+        run = max(1, min(run, int(borders[open_[:run]].searchsorted(borders[open_[0]] + room))))
         begin, at = int(borders[open_[0]]), int(open_[run - 1]) + 1
-        scores = _score(lists, weights, begin, int(borders[at]))
+        end = int(borders[at])
+        found = _score(lists, weights, begin, end)
+        i, j = docs.searchsorted((begin, end))
+        found[docs[i:j] - begin] += scores[i:j]
         room = min(2 * room, STRETCH[1])
-        good = np.flatnonzero(scores >= best.least)
+        good = np.flatnonzero(found >= best.least)
         if len(good):
-            best.offer(scores[good], ids[begin + good])
+            best.offer(found[good], ids[begin + good])
 
 
 def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -380,7 +405,7 @@ def _ask(table: pa.Table, best: dict[int, _Best], k: int) -> None:
         for ask in values["asks"].as_py():
             by_item.setdefault(ask["item"], []).append((postings, ask["weight"]))
     for item, pairs in by_item.items():
-        block_max_wand([p for p, _ in pairs], np.array([w for _, w in pairs], np.int64), ids, best.setdefault(item, _Best(k)))
+        block_max_wand([p for p, _ in pairs], [w for _, w in pairs], ids, best.setdefault(item, _Best(k)))
 
 
 def op13_ranked_search(spark, sf_dir: str) -> DataFrame:
