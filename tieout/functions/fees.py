@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,24 @@ CARD = [
 ]
 
 
+def _file(spark: SparkSession, path: str) -> dict:
+    """A rate card's JSON object, a few lines; empty where there is no such file or it holds no object."""
+    try:
+        given = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+    except (AnalysisException, ValueError):
+        return {}
+    return given if isinstance(given, dict) else {}
+
+
+def withheld(spark: SparkSession, path: str | None = None) -> int:
+    """FN17: basis points of tax that a card's file says are withheld; 0 where it doesn't."""
+    given = _file(spark, path).get("tds_bps", 0) if path else 0
+    try:
+        return int(given)
+    except (TypeError, ValueError):
+        return 0
+
+
 def rate_card(spark: SparkSession, path: str | None = None) -> DataFrame:
     """FN17: the card with a JSON file's rules over it; absent fields are those of the card's rule for that method
     (0, 0 and 18 % for a new method), an absent label is the method's name.
@@ -30,10 +49,7 @@ def rate_card(spark: SparkSession, path: str | None = None) -> DataFrame:
     fields = ("percent_bps", "fixed_minor", "tax_bps", "label")
     rules = {r[0]: dict(zip(fields, r[1:])) for r in CARD}
     if path:
-        try:
-            given = json.loads("\n".join(r[0] for r in spark.read.text(path).collect())).get("rules", {})  # a card is a few lines
-        except Exception:
-            given = {}
+        given = _file(spark, path).get("rules", {})
         for name, rule in given.items() if isinstance(given, dict) else ():
             method = name.strip().lower()
             base = {**rules.get(method, {"percent_bps": 0, "fixed_minor": 0, "tax_bps": 1800}), "label": name}
@@ -64,7 +80,7 @@ def equation(gross: Column, fee: Column, tax: Column, tds: Column, refunds: Colu
 
 
 def breakdown(rows: DataFrame) -> DataFrame:
-    """FN19, FN20: priced rows with what was reported before what the card says, provenance, net and a line of text.
+    """FN19, FN20: priced rows with what was reported before what the card says, provenance, net, and how it comes about as steps and as a line.
 
     Expects gross, reported_fee, reported_tax, reported_tds (null: not reported), refunds, chargebacks and currency.
     """
@@ -73,4 +89,7 @@ def breakdown(rows: DataFrame) -> DataFrame:
     out = out.withColumn("provenance", F.when(said, "actual").otherwise("estimated"))
     out = out.withColumn("net", equation(*(F.col(c) for c in ("gross", "fee", "tax", "tds", "refunds", "chargebacks")), F.lit(0)))
     money = lambda c: format_money(F.col(c), F.col("currency"))
+    parts = [("fee", "fee"), ("tax", "tax on the fee"), ("tds", "tax withheld"), ("refunds", "refunds"), ("chargebacks", "chargebacks")]
+    taken = [F.when(F.col(c) != 0, F.concat(F.lit(f"less {said}: "), money(c))) for c, said in parts]
+    out = out.withColumn("steps", F.array_compact(F.array(F.concat(F.lit("gross: "), money("gross")), *taken, F.concat(F.lit("net: "), money("net"), F.when(F.col("provenance") == "actual", F.lit("")).otherwise(F.lit(" (by the rate card)"))))))
     return out.withColumn("line", F.concat(money("gross"), F.lit(" - fee "), money("fee"), F.lit(" - tax "), money("tax"), F.lit(" = "), money("net")))

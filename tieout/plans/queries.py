@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tieout.conf import Settings
 from tieout.functions import fees
 from tieout.functions import scalars as fn
+from tieout.functions import sql
 from tieout.operators import exceptions as exc
 from tieout.operators import graph, reference, reports, resolver, settlement, units, worklist
 from tieout.operators import groups as grp
 from tieout.plans.engine import cluster, reconcile
 from tieout.schema import as_entries
-from tieout.sources import ingest, quality
+from tieout.sources import gateway, ingest, quality
 from tieout.sources.derived import BATCH_SQL, base_of, batch
 from tieout.tables import cut, shared_dir
 
@@ -615,17 +616,20 @@ def reconcile_exceptions(spark, sf):
 # ---- refusals, proposals, reports -----------------------------------------------------------------
 
 
+_OVERRIDE = {"rules": {"Card": {"fixed_minor": 300}, "upi": {"percent_bps": 150, "label": "UPI at last"}, "cheque": {"percent_bps": 50}, "netbanking": {"percent_bps": "much"}}, "tds_bps": 25}
+
+
 @query(
-    """SELECT * FROM (VALUES ('card', 200::BIGINT, 300::BIGINT, 1800::BIGINT, 'Card'), ('wallet', 150, 0, 1800, 'purse'), ('gift', 50, 0, 1800, 'gift'), ('emi', 300, 0, 1800, 'EMI'),
-    ('default', 200, 0, 1800, 'default')) t(method, percent_bps, fixed_minor, tax_bps, label)""",
-    derived=False,
+    f""", m AS (SELECT k, g, lower(trim({_METHODS})) method FROM base), f AS (SELECT *, (2 * g * CASE method WHEN 'upi' THEN 150 WHEN 'netbanking' THEN 180 WHEN 'cheque' THEN 50 ELSE 200 END + 10000) // 20000 + CASE WHEN method = 'card' THEN 300 ELSE 0 END rule_fee FROM m)
+    SELECT k, rule_fee, (2 * rule_fee * 1800 + 10000) // 20000 rule_tax, (2 * g * 25 + 10000) // 20000 rule_tds, CASE method WHEN 'upi' THEN 'UPI at last' WHEN 'netbanking' THEN 'netbanking' WHEN 'cheque' THEN 'cheque' WHEN 'card' THEN 'Card' ELSE 'default' END rule_label FROM f"""
 )
 def rate_card_override(spark, sf):
-    """FN17: rules that give some fields, name a new method, or can't be read."""
-    rules = {"Card": {"fixed_minor": 300}, "wallet": {"percent_bps": 150, "label": "purse"}, "gift": {"percent_bps": 50}, "emi": {"percent_bps": "much"}}
+    """FN17: all orders priced by a card whose file gives some fields, names a new method, has a rule that can't be read, and withholds tax."""
     path = f"{shared_dir(spark)}/card-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps({"rules": rules}),)], "value string").write.text(path)
-    return fees.rate_card(spark, path).where(F.col("method").isin("card", "wallet", "gift", "emi", "default"))
+    spark.createDataFrame([(json.dumps(_OVERRIDE),)], "value string").write.text(path)
+    method = F.when(_k() % 5 == 0, "upi").when(_k() % 5 == 1, " Card").when(_k() % 5 == 2, "netbanking").when(_k() % 5 == 3, "cheque")
+    sales = _base(spark, sf).select("k", F.col("g").alias("gross"), method.alias("method"))
+    return fees.priced(sales, fees.rate_card(spark, path), tds_bps=fees.withheld(spark, path)).select("k", "rule_fee", "rule_tax", "rule_tds", "rule_label")
 
 
 _DISPUTED = """, d AS (SELECT k, cur, g, CASE WHEN k % 38 = 0 THEN rf * 4 ELSE rf END taken, k % 95 = 0 AS foreign_, CASE WHEN k % 2 = 0 THEN 'chargeback' ELSE 'refund' END src FROM base WHERE k % 19 = 0 AND k % 57 <> 0)"""
@@ -798,3 +802,81 @@ def queue_items(spark, sf):
     legs = F.explode(F.array(F.struct(named("bnk_").alias("id"), F.lit("bank").alias("source"), _k().alias("ord")), F.struct(named("led_").alias("id"), F.lit("ledger").alias("source"), (_k() + SPAN).alias("ord")))).alias("e")
     entries = b.select("d", legs).select("e.*", F.col("d").alias("value_date"))
     return worklist.queue_items(raised, groups, entries).select("entry_id", "source", "category", "amount", "value_date", "rationale", "fingerprint")
+
+
+# ---- SQL functions, records of uneven shape, searches past their budget ---------------------------
+
+
+@query(
+    """, t AS (SELECT k, g, cur, CASE k % 4 WHEN 0 THEN printf('%.2f', g / 100.0) WHEN 1 THEN CAST(g AS VARCHAR) WHEN 2 THEN '(' || printf('%.2f', g / 100.0) || ')' ELSE 'n/a' END s, CASE WHEN k % 2 = 0 THEN strftime(d, '%d/%m/%Y') ELSE 'soon' END dd, d FROM base),
+    v AS (SELECT *, CASE k % 4 WHEN 2 THEN -g WHEN 3 THEN 0 ELSE g END minor, CAST(abs(g) // 100 AS VARCHAR) w, lpad(CAST(g % 100 AS VARCHAR), 2, '0') c FROM t)
+    SELECT k, minor, CASE WHEN k % 2 = 0 THEN d ELSE DATE '1970-01-01' END AS "day", CAST(CASE WHEN k % 3 = 0 THEN -((2 * g + 7) // 14) ELSE (2 * g + 7) // 14 END AS BIGINT) seventh,
+      CASE WHEN cur = 'INR' THEN '₹' || CASE WHEN length(w) <= 3 THEN w ELSE ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right(w, 3) END
+        ELSE '$' || ltrim(reverse(regexp_replace(reverse(w), '(\\d\\d\\d)', '\\1,', 'g')), ',') END || '.' || c money FROM v"""
+)
+def sql_functions(spark, sf):
+    """FN1, FN2, FN10 and FN13 in plain SQL over ``orders``."""
+    sql.register(spark)
+    _base(spark, sf).createOrReplaceTempView("tieout_base")
+    return spark.sql("""
+        SELECT k, parse_minor(CASE k % 4 WHEN 0 THEN format_string('%.2f', g / 100) WHEN 1 THEN CAST(g AS STRING) WHEN 2 THEN '(' || format_string('%.2f', g / 100) || ')' ELSE 'n/a' END) AS minor,
+          parse_day(CASE WHEN k % 2 = 0 THEN date_format(d, 'dd/MM/yyyy') ELSE 'soon' END) AS day, divide_half_away(g, CASE WHEN k % 3 = 0 THEN -7L ELSE 7L END) AS seventh, format_money(g, cur) AS money
+        FROM tieout_base""")
+
+
+def _pages(rows: DataFrame, record) -> DataFrame:
+    """Pages of 50 records as a gateway answers them: ``items``, ``rows`` or a plain array."""
+    page = F.call_function("div", _k(), F.lit(50))
+    held = rows.select(page.alias("page"), F.struct(_k().alias("k"), record.alias("json")).alias("r")).groupBy("page").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    array = F.concat(F.lit("["), F.array_join("rs.json", ","), F.lit("]"))
+    wrapped = F.when(F.col("page") % 3 == 0, F.concat(F.lit('{"items":'), array, F.lit("}"))).when(F.col("page") % 3 == 1, F.concat(F.lit('{"count":50,"rows":'), array, F.lit("}"))).otherwise(array)
+    return held.select(wrapped.alias("value"))
+
+
+@query(
+    """ SELECT 'pay_' || k id, 'payment' source, g amount, d value_date, cur currency, CASE WHEN k % 4 = 0 THEN 'pay_' || k ELSE 'ORD' || k END reference, CASE WHEN k % 3 = 0 THEN 'card' END AS method, CASE WHEN k % 3 = 0 THEN fee ELSE 0 END fee, CAST(NULL AS VARCHAR) related FROM base WHERE k % 5 <> 0 AND k % 11 <> 0
+    UNION ALL SELECT 'rfnd_' || k, 'refund', g // 10 + 1, d, cur, 'rfnd_' || k, NULL, 0, 'pay_' || k FROM base"""
+)
+def gateway_entries(spark, sf):
+    """SC9, SC2, QV1: pages of API-shaped payments and refunds of uneven shape: uncaptured ones, absent fields, and things that are no records."""
+    b = _base(spark, sf)
+    seconds = F.unix_timestamp(F.col("d").cast("timestamp")) + 37_800
+    payment = F.to_json(F.struct(
+        F.concat(F.lit("pay_"), _text()).alias("id"), F.col("g").alias("amount"), F.col("cur").alias("currency"), seconds.alias("created_at"), F.when(_k() % 5 == 0, "authorized").otherwise("captured").alias("status"),
+        F.when(_k() % 2 == 0, _k() % 5 != 0).alias("captured"), F.when(_k() % 4 != 0, F.concat(F.lit("ORD"), _text())).alias("order_id"), F.when(_k() % 3 == 0, "card").alias("method"), F.when(_k() % 3 == 0, F.col("fee")).alias("fee"),
+        F.struct(F.lit("web").alias("channel")).alias("notes"),
+    ))
+    payment = F.when(_k() % 11 == 0, F.when(_k() % 2 == 0, "17").otherwise('"torn"')).otherwise(payment)
+    refund = F.to_json(F.struct(F.concat(F.lit("rfnd_"), _text()).alias("id"), (F.call_function("div", F.col("g"), F.lit(10)) + 1).alias("amount"), F.col("cur").alias("currency"), F.concat(F.lit("pay_"), _text()).alias("payment_id"), seconds.alias("created_at")))
+    entries, _ = gateway.entries_of({"payment": _pages(b, payment), "refund": _pages(b, refund)})
+    return entries.select("id", "source", "amount", "value_date", "currency", "reference", "method", "fee", "related")
+
+
+@query(
+    """, t AS (SELECT k, k % 13 = 0 AS broken, k % 13 <> 0 AND k % 7 = 0 AS blank, k % 3 = 0 undated FROM base)
+    SELECT CASE WHEN broken THEN 'not a record' WHEN blank THEN 'empty' WHEN undated THEN 'no date' ELSE 'accepted' END verdict, count(*) n FROM t GROUP BY 1"""
+)
+def torn_records(spark, sf):
+    """QV1, SC1: lines that should be JSON objects: broken ones, numbers and lists are quarantined as no records, blank records are counted."""
+    own = F.to_json(F.struct(F.concat(F.lit("p"), _text()).alias("Payment Id"), F.col("g").alias("Amount"), F.when(_k() % 3 != 0, F.date_format("d", "yyyy-MM-dd")).alias("Created At")))
+    line = F.when(_k() % 39 == 0, "[1, 2]").when(_k() % 26 == 0, "12").when(_k() % 13 == 0, F.substring(own, 1, 15)).when(_k() % 7 == 0, '{"Amount": " "}').otherwise(own)
+    rows = ingest.json_records(_base(spark, sf).select(F.try_parse_json(line).alias("record")))
+    assessed = ingest.prepare(rows, "payment")
+    first = F.get("issues", F.lit(0))
+    verdict = F.when(F.col("accepted"), "accepted").when(F.col("empty"), "empty").when(first.problem == "not a record", "not a record").when(first.field == "date", "no date").otherwise(first.problem)
+    return assessed.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query()
+def subsets_past_budget(spark, sf):
+    """JN12: days of 48 sales, and a payout of three or four of them: more subsets than the budget, of which the first ones count."""
+    b = _base(spark, sf).withColumn("b", F.call_function("div", _k(), F.lit(48)))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("b") % 10_000 * 5).cast("int"))
+    rows = b.withColumn("value_date", day).withColumn("currency", F.concat(F.lit("C"), F.call_function("div", F.col("b"), F.lit(10_000)).cast("string")))
+    parts = rows.select(F.concat(F.lit("part_"), _text()).alias("id"), F.lit("payment").alias("source"), F.col("g").alias("amount"), "value_date", "currency", F.concat(F.lit("P"), _text()).alias("reference"), _k().alias("ord"))
+    chosen = (_k() % 48).isin(3, 17, 31) | (F.col("b") % 2 == 0) & (_k() % 48 == 40)
+    whole = rows.where(chosen).groupBy("b", "value_date", "currency").agg(F.sum("g").alias("amount"))
+    whole = whole.select(F.concat(F.lit("whole_"), F.col("b").cast("string")).alias("id"), F.lit("settlement").alias("source"), "amount", F.date_add("value_date", 2).alias("value_date"), "currency", (F.col("b") + SPAN).alias("ord"))
+    clustered, _ = cluster(as_entries(parts.unionByName(whole, allowMissingColumns=True).withColumns({"fee": F.lit(0), "tax": F.lit(0)})))
+    links, _ = settlement.link_settlements(cut(clustered.drop("prev_id"), "clustered"))
+    return links.where("rule = 'split-settlement@v1'").select((F.col("anchor") - SPAN).alias("b"), "unit")

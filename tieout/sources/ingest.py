@@ -19,16 +19,27 @@ SPAN = 10**13
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """SC1, SC2: CSV (all text), JSON lines, or a JSON array or object with ``items`` or ``rows``; any path that Spark reads."""
+    """SC1, SC2: text columns of a CSV file, of JSON lines, or of a JSON array or object with ``items`` or ``rows``; any path that Spark reads.
+
+    ``_corrupt`` marks rows that aren't records, and CSV rows with other than the heading's fields. A byte
+    order mark is skipped, bytes that aren't UTF-8 are replaced.
+    """
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", quality.CORRUPT)
+        names = rows.csv(path).columns
+        return rows.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in (*names, quality.CORRUPT))).csv(path)
     if path.endswith(".jsonl"):
-        return spark.read.option("primitivesAsString", True).json(path)
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    for holder in ("items", "rows"):
-        if df.columns == [holder] or holder in df.columns and df.schema[holder].dataType.typeName() == "array":
-            return df.select(F.explode(holder).alias("r")).select("r.*")
-    return df
+        return json_records(spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("record")))
+    from tieout.sources.gateway import records
+
+    return json_records(records(spark.read.text(path, wholetext=True)))
+
+
+def json_records(found: DataFrame) -> DataFrame:
+    """Text columns of records (record variant), one a key that any of them has, and ``_corrupt`` for what is no object."""
+    rows = found.select(F.try_variant_get("record", "$", "map<string,string>").alias("r"))
+    keys = [k for k, in rows.select(F.explode(F.map_keys("r"))).distinct().orderBy("col").collect()]  # headings, not data
+    return rows.select(*[F.col("r")[k].alias(k) for k in keys], F.when(F.col("r").isNull(), F.lit(quality.NO_RECORD)).alias(quality.CORRUPT))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +48,12 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("grp", "ids")).select("grp", F.explode("ids").alias("id"))
 
 
+def categories(spark: SparkSession, path: str) -> DataFrame:
+    """SC6: (id, category) of a JSON object that maps ids to categories."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "category"))
+
+
 def existing(spark: SparkSession, folder: str) -> dict[str, str]:
     """SC3, SC5: the file of each source that a folder holds, by Spark's own file systems."""
     jvm = spark._jvm
@@ -56,16 +73,19 @@ def numbered(rows: DataFrame, order: str = "_row") -> DataFrame:
 
 def prepare(df: DataFrame, source: str) -> DataFrame:
     """MP11: mapped and checked rows; a file whose columns can't be told raises MappingError."""
-    found = mapping.detect(df.columns, source)
+    found = mapping.detect([c for c in df.columns if c != quality.CORRUPT], source)
     if not found.usable:
         raise mapping.MappingError(f"{source}: " + "; ".join(found.explain()))
     return quality.assess(mapping.apply(df, found), source)
 
 
-def preview(df: DataFrame, source: str, rows: int = 500) -> tuple[mapping.Mapping, DataFrame | None]:
-    """MP12: the mapping, and the quality of the first rows where it is usable."""
-    found = mapping.detect(df.columns, source)
-    return found, quality.summary(quality.assess(mapping.apply(df.limit(rows), found), source)) if found.usable else None
+def preview(df: DataFrame, source: str, rows: int = 500, samples: int = 3) -> tuple[mapping.Mapping, DataFrame | None, DataFrame | None]:
+    """MP12: the mapping and, where it is usable, the quality of the first rows and some of them as they would be read."""
+    found = mapping.detect([c for c in df.columns if c != quality.CORRUPT], source)
+    if not found.usable:
+        return found, None, None
+    assessed = quality.assess(mapping.apply(df.limit(rows), found), source)
+    return found, quality.summary(assessed), assessed.where("accepted").drop("raw", "_row", "issues", "empty", "accepted", quality.CORRUPT).limit(samples)
 
 
 def normalize(accepted: DataFrame, source: str) -> DataFrame:
@@ -109,7 +129,11 @@ def entries_of(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"unknown sources: {sorted(unknown)}")
     if not tables:
         raise ValueError("no exports")
-    assessed = {s: prepare(tables[s], s) for s in SOURCES if s in tables}
+    return joined({s: prepare(tables[s], s) for s in SOURCES if s in tables})
+
+
+def joined(assessed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(entries of the accepted rows, all rows with ``source``) of assessed rows by source."""
     parts = [normalize(a.where("accepted"), s) for s, a in assessed.items()]
     every = [a.withColumn("source", F.lit(s)) for s, a in assessed.items()]
     return disambiguate(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, every)
@@ -135,7 +159,7 @@ def datasets(spark: SparkSession, root: str) -> list[str]:
 
 
 def load_dataset(spark: SparkSession, root: str, name: str) -> tuple[dict[str, DataFrame], DataFrame | None, DataFrame | None]:
-    """SC4: (exports by source, labels (grp, id), truth) of a named folder; absent files give None, names are never paths."""
+    """SC4: (exports by source, labels (grp, id), truth (id, category)) of a named folder; absent files give None, names are never paths."""
     if not isinstance(name, str) or not name.isascii() or not 0 < len(name) <= 64 or not name.replace("-", "").replace("_", "").isalnum():
         raise ValueError(f"invalid dataset name {name!r}")
     if name not in datasets(spark, root):
@@ -143,7 +167,7 @@ def load_dataset(spark: SparkSession, root: str, name: str) -> tuple[dict[str, D
     folder = f"{root.rstrip('/')}/{name}"
     root_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     names = {s.getPath().getName() for s in root_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(root_path)}
-    truth = spark.read.option("multiLine", True).json(f"{folder}/truth.json") if "truth.json" in names else None
+    truth = categories(spark, f"{folder}/truth.json") if "truth.json" in names else None
     held = labels(spark, f"{folder}/labels.json") if "labels.json" in names else None
     return {s: read(spark, p) for s, p in existing(spark, folder).items()}, held, truth
 

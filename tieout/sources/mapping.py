@@ -108,6 +108,10 @@ def detect(headings: list[str], source: str) -> Mapping:
     return out
 
 
+#: Column of what is wrong with a row as a whole.
+CORRUPT = "_corrupt"
+
+
 def clean_number(c: Column) -> Column:
     """MP10: major units of a text with separators, signs or parentheses; blank and dashes are 0."""
     s = F.trim(F.regexp_replace(c, "[,₹$]", ""))
@@ -121,10 +125,11 @@ def apply(df: DataFrame, mapping: Mapping) -> DataFrame:
     text = {f: F.col(f"`{c}`").cast("string") for f, c in mapping.columns.items()}
     none = F.lit(None).cast("string")
     raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw")
+    corrupt = (F.col(CORRUPT) if CORRUPT in df.columns else none).alias(CORRUPT)
     kind, major = text.get("type", none), F.lit(None).cast("double")
     if "amount" not in text and {"debit", "credit"} & set(text):
         debit, credit = (clean_number(F.coalesce(text.get(k, none), F.lit(""))) for k in ("debit", "credit"))
         major = F.when(credit != 0, credit).when(debit != 0, -F.abs(debit)).otherwise(0.0)
         kind = F.when(credit != 0, "credit").when(debit != 0, "debit")
     names = ["id", "amount", "date", "reference", "narration", "currency", "fees", "tax", "tds", "status", "method", "payment_id"]
-    return df.select(*[text.get(f, none).alias(f) for f in names], kind.alias("type"), major.alias("amount_major"), raw, F.monotonically_increasing_id().alias("_row"))
+    return df.select(*[text.get(f, none).alias(f) for f in names], kind.alias("type"), major.alias("amount_major"), raw, corrupt, F.monotonically_increasing_id().alias("_row"))

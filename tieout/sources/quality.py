@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.scalars import ALIASES, MINOR_UNITS, NO_DATE, major_to_minor, parse_date, parse_minor
+from tieout.sources.mapping import CORRUPT
 
 IMPLAUSIBLE = 10**13
+#: What ``_corrupt`` says of a row that is no record; other text there is that of a torn row.
+NO_RECORD = "not a record"
 CHECKED = ["id", "amount", "date", "reference", "narration", "currency", "payment_id"]
 
 
@@ -33,7 +36,9 @@ def assess(rows: DataFrame, source: str) -> DataFrame:
     Rows without an id, or without a reference, get a key of their own in the windows, so that blanks
     don't meet in one task.
     """
-    empty = reduce(lambda a, b: a & b, [_blank(c) for c in CHECKED]) & F.col("amount_major").isNull()
+    corrupt = F.col(CORRUPT) if CORRUPT in rows.columns else F.lit(None).cast("string")
+    no_record = F.coalesce(corrupt == NO_RECORD, F.lit(False))
+    empty = reduce(lambda a, b: a & b, [_blank(c) for c in CHECKED]) & F.col("amount_major").isNull() & ~no_record
     own = F.concat(F.lit("\0"), F.col("_row").cast("string"))
     by_id = Window.partitionBy(F.when(_blank("id"), own).otherwise(F.trim("id"))).orderBy("_row")
     unnamed = _blank("id") & ~_blank("reference")
@@ -45,6 +50,7 @@ def assess(rows: DataFrame, source: str) -> DataFrame:
     code = F.upper(F.trim("currency"))
     marked = rows.withColumns({"_nth": F.row_number().over(by_id), "_first": F.first("_row").over(by_id)}).withColumn("_again", F.row_number().over(by_row))
     issues = F.array_compact(F.array(
+        _issue(corrupt.isNotNull(), "row", "torn: not as many fields as headings", "warning"),
         _issue(no_amount, "amount", "missing", "error"),
         _issue(~no_amount & ~folded & (minor == 0) & ~zero_text, "amount", "not a number", "error"),
         _issue(F.abs(minor) > IMPLAUSIBLE, "amount", "implausibly large", "error"),
@@ -56,6 +62,7 @@ def assess(rows: DataFrame, source: str) -> DataFrame:
         _issue(unnamed & (F.col("_again") > 1), "reference", "exported twice", "warning"),
         _issue(_blank("payment_id") & F.lit(source in ("refund", "chargeback")), "payment_id", "names no payment", "warning"),
     ))
+    issues = F.when(no_record, F.array(_issue(F.lit(True), "row", NO_RECORD, "error"))).otherwise(issues)
     marked = marked.withColumn("empty", empty).withColumn("issues", F.when(F.col("empty"), F.array().cast("array<struct<field:string,problem:string,severity:string>>")).otherwise(issues))
     bad = F.exists("issues", lambda i: i.severity == "error")
     return marked.withColumn("accepted", ~F.col("empty") & ~bad).drop("_nth", "_first", "_again")
