@@ -22,6 +22,8 @@ class Settings:
     split_size: int = 6
     merge_size: int = 4
     max_rows: int = 50_000  # of an upload
+    agent_rows: int = 150  # residual entries above which an outside resolver isn't asked
+    agent_batch: int = 150  # entries that it is shown at a time
 
     def updated(self, values: dict[str, str]) -> Settings:
         """With the named values; those that don't parse keep their default."""

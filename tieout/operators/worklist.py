@@ -99,14 +99,18 @@ def summary(worklist: DataFrame) -> DataFrame:
     return worklist.groupBy("status", "category").agg(F.count("*").alias("items"), F.sum("amount").alias("value"), F.count_if(F.col("times_seen") > 1).alias("carried"))
 
 
+def batch_digest(rows: DataFrame) -> DataFrame:
+    """FN24: one row, a digest of ``rows`` in any order, from sums that each task adds up."""
+    h = F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))
+    return rows.agg(F.substring(F.sha2(F.concat_ws("|", F.coalesce(h, F.lit(0)).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("digest"))
+
+
 def record_run(path: str, run: str, batch: DataFrame, metrics: DataFrame) -> None:
     """ST7: append a row to the ledger of runs: id, time, a digest of the entries in any order, and the run's metrics.
 
     Rows are never changed; the same input run twice is two rows with one digest.
     """
-    h = F.sum(F.xxhash64(*sorted(batch.columns)).cast("decimal(38,0)"))
-    digest = batch.agg(F.substring(F.sha2(F.concat_ws("|", F.coalesce(h, F.lit(0)).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("digest"))
-    digest.join(metrics).select(F.lit(run).alias("run"), F.current_timestamp().alias("ts"), "digest", *metrics.columns).write.mode("append").parquet(path)
+    batch_digest(batch).join(metrics).select(F.lit(run).alias("run"), F.current_timestamp().alias("ts"), "digest", *metrics.columns).write.mode("append").parquet(path)
 
 
 EVENT = "fingerprint string, event string, run string, from_status string, to_status string, body string"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +13,19 @@ from tieout.conf import Settings
 from tieout.functions.scalars import digest16
 from tieout.operators import exceptions as exc
 from tieout.operators import groups as grp
-from tieout.operators import reference, reports, resolver, settlement
+from tieout.operators import dispatch, reference, reports, settlement
 from tieout.tables import cut
 
 
 @dataclass
 class Result:
-    """Tables of one run. ``clustered``: entries with ``comp``; ``exceptions``; ``groups`` with status and amount; ``refused``: what rules declined."""
+    """Tables of one run. ``clustered``: entries with ``comp``; ``exceptions``; ``groups`` with status and amount; ``placed``: residual entries that the resolver put together; ``refused``: what rules and the resolver declined."""
 
     clustered: DataFrame
     groups: DataFrame
     exceptions: DataFrame
     links: DataFrame
-    pairs: DataFrame
+    placed: DataFrame
     refused: DataFrame
 
     def money(self, per_currency: bool = False) -> DataFrame:
@@ -37,6 +38,10 @@ class Result:
         total = g.unionByName(e).agg(F.sum("h").cast("string").alias("s"), F.count("*").cast("string").alias("n"))
         return total.select(digest16(F.array("s", "n")).alias("fingerprint"))
 
+    def listed(self) -> tuple[DataFrame, DataFrame]:
+        """SL1: groups by number and exceptions by falling amount."""
+        return reports.listed(self.groups, self.exceptions)
+
     def metrics(self) -> DataFrame:
         """AG7: entries, matched, exceptions, auto-match rate."""
         counts = self.clustered.agg(F.count("*").alias("entries")).join(self.exceptions.agg(F.count("*").alias("exceptions")))
@@ -60,8 +65,12 @@ def cluster(entries: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     return reference.merge_deductions(first, links), links
 
 
-def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool = True, pairing: Callable[[DataFrame], DataFrame] | None = None) -> Result:
-    """Run all rules over ``entries``. pairing: a resolver of residual entries, (a_id, b_id, score) as ``greedy_pairs`` gives."""
+def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool = True, pairing: Callable[[DataFrame], DataFrame] | None = None, agent: dispatch.Resolver | None = None) -> Result:
+    """Run all rules over ``entries``.
+
+    pairing: a resolver of residual entries in Spark, (a_id, b_id, score) as ``greedy_pairs`` gives; agent: an
+    outside one, see :mod:`tieout.operators.dispatch`.
+    """
     entries = cut(entries, "entries")
     clustered, deductions = cluster(entries, settings)
     clustered = cut(clustered.drop("prev_id"), "clustered")
@@ -71,19 +80,17 @@ def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool
     b_links = cut(settlement.link_banks(with_s, settings, subsets), "credits")
     linked = cut(settlement.relabel(with_s, b_links), "linked")
     dups = cut(exc.duplicates_in_groups(linked), "duplicates")
-    kept = cut(linked.join(dups.select("ord"), "ord", "left_anti"), "kept")
-    single = kept.groupBy("comp").count().where("count = 1").select("comp")
-    residual = cut(kept.join(single, "comp", "left_semi"), "residual")
-    grouped = kept.join(single, "comp", "left_anti")
+    kept = linked.join(dups.select("ord"), "ord", "left_anti")
+    kept = cut(kept.join(kept.groupBy("comp").agg((F.count("*") == 1).alias("single")), "comp"), "kept")
+    residual, grouped = kept.where("single").drop("single"), kept.where("not single").drop("single")
     if pairing is None:
-        pairs = resolver.greedy_pairs(resolver.score(resolver.candidate_pairs(residual, settings.tolerance, settings.pair_window), settings.tolerance), settings.accept)
+        placed, said = dispatch.resolve(residual, settings, agent)
     else:
-        pairs = admit(pairing(residual), residual)
-    ends = pairs.select(F.col("a_id").alias("id"), F.col("a_id").alias("first")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("a_id").alias("first")))
-    paired = residual.join(ends, "id")
-    head = paired.groupBy("first").agg(F.min("ord").alias("to"))
-    paired = paired.join(head, "first").withColumn("comp", F.col("to")).select(grouped.columns)
-    left = residual.join(ends.select("id"), "id", "left_anti")
+        placed, said = dispatch.of_pairs(admit(pairing(residual), residual)), None
+    placed = cut(placed, "placed")
+    joined = residual.join(placed.select("id", "grp"), "id")
+    paired = joined.join(joined.groupBy("grp").agg(F.min("ord").alias("to")), "grp").withColumn("comp", F.col("to")).select(grouped.columns)
+    left = residual.join(placed.select("id"), "id", "left_anti")
     final = cut(grouped.unionByName(paired), "final")
     raised = exc.classify_residual(left, entries, settings.tolerance)
     dup_rows = dups.join(entries.select("ord", "currency"), "ord").select("id", "source", "amount", "currency", "value_date", "ord", F.lit("duplicate").alias("category"), F.lit(0.9).alias("conf"), F.concat(F.lit("repeats "), F.col("kept_id")).alias("rationale"))
@@ -94,24 +101,39 @@ def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool
         # a refused unit keeps its component unless a later rule moved it: follow it through its first entry
         refused = ambiguous.select(F.col("unit").alias("ord")).distinct().join(final.select("ord", "comp"), "ord").select("comp")
     g = grp.status(g, entries, refused, settings.lag_days)
-    g = cut(stages(g, s_links, b_links, deductions, pairs, final), "groups")
-    return Result(final.unionByName(left.select(final.columns)).unionByName(linked.join(dups.select("ord"), "ord", "left_semi").select(final.columns)), g, raised, s_links.unionByName(b_links), pairs, reports.refusals(deductions, ambiguous, entries))
-
-
-def stages(g: DataFrame, s_links: DataFrame, b_links: DataFrame, deductions: DataFrame, pairs: DataFrame, final: DataFrame) -> DataFrame:
-    """JN15: groups with stage (the strongest of their edges), confidence (the weakest) and rules."""
-    by_ord = s_links.select(F.col("anchor").alias("ord"), "rule", "conf").unionByName(b_links.select(F.col("anchor").alias("ord"), "rule", "conf"))
-    by_ord = by_ord.withColumn("stage", F.lit("structural")).unionByName(
-        deductions.where("same").select("ord", F.concat("source", F.lit("-to-payment@v1")).alias("rule"), F.lit(1.0).alias("conf"), F.lit("deterministic").alias("stage"))
-    )
-    heuristic = pairs.join(final.select(F.col("id").alias("a_id"), "ord"), "a_id").select("ord", F.lit("heuristic-pair@v1").alias("rule"), F.col("score").alias("conf"), F.lit("heuristic").alias("stage"))
+    g = cut(stages(g, s_links, b_links, deductions, placed, final), "stages")
+    g = cut(grp.numbered(g), "groups")
+    declined = reports.refusals(deductions, ambiguous, entries)
+    everything = final.unionByName(left.select(final.columns)).unionByName(linked.join(dups.select("ord"), "ord", "left_semi").select(final.columns))
+    return Result(everything, g, raised, s_links.unionByName(b_links), placed, declined if said is None else declined.unionByName(said))
+
+
+#: JN15: what an edge of each rule says.
+WHY = {
+    "refund-to-payment@v1": "the refund names this payment", "chargeback-to-payment@v1": "the chargeback names this payment", "payment-to-settlement@v1": "the payout's net, fee and taxes add up to the sale",
+    "split-settlement@v1": "the payout's net, fee and taxes add up to these sales of one day, and to no others", "late-payout@v1": "the payout came late, for what was left of this sale by then",
+    "bank-to-settlement@v1": "the credit is the payout's net, within a day", "merged-bank-credit@v1": "the credit is the sum of these payouts, and of no others",
+}
+
+
+def stages(g: DataFrame, s_links: DataFrame, b_links: DataFrame, deductions: DataFrame, placed: DataFrame, final: DataFrame) -> DataFrame:
+    """JN15: groups with stage (the strongest of their edges), confidence (the weakest), rules, and the longest of the edges' rationales."""
+    links = [x.select(F.col("anchor").alias("ord"), "rule", "conf", F.lit("structural").alias("stage")) for x in (s_links, b_links)]
+    named = deductions.where("same").select("ord", F.concat("source", F.lit("-to-payment@v1")).alias("rule"), F.lit(1.0).alias("conf"), F.lit("deterministic").alias("stage"))
+    ruled = reduce(DataFrame.unionByName, [*links, named]).withColumn("why", F.create_map(*[F.lit(x) for p in WHY.items() for x in p])[F.col("rule")])
+    resolved = placed.join(final.select("id", "ord"), "id").select("ord", "rule", F.col("score").alias("conf"), "stage", "why")
     rank = F.array_position(F.array(*map(F.lit, ["deterministic", "structural", "heuristic", "agent"])), F.col("stage"))
-    edges = by_ord.unionByName(heuristic).join(final.select("ord", "comp"), "ord")
-    said = edges.groupBy("comp").agg(F.max_by("stage", rank).alias("stage"), F.min("conf").alias("confidence"), F.array_sort(F.collect_set("rule")).alias("rules"))
-    shared = final.where("ref is not null").groupBy("comp", "ref").count().where("count > 1").select("comp").distinct().withColumn("_ref", F.lit(True))
+    edges = ruled.unionByName(resolved).join(final.select("ord", "comp"), "ord")
+    longest = F.max_by("why", F.struct(F.length("why"), -F.col("ord")))
+    said = edges.groupBy("comp").agg(F.max_by("stage", rank).alias("stage"), F.min("conf").alias("confidence"), F.collect_set("rule").alias("rules"), longest.alias("why"))
+    shared = final.where("ref is not null").groupBy("comp", "ref").count().where("count > 1").groupBy("comp").agg(F.min("ref").alias("_ref"))
     out = g.join(said, "comp", "left").join(shared, "comp", "left")
-    rules = F.array_sort(F.concat(F.coalesce("rules", F.array().cast("array<string>")), F.when(F.col("_ref"), F.array(F.lit("exact-reference@v2"))).otherwise(F.array().cast("array<string>"))))
-    return out.withColumn("rules", rules).withColumn("stage", F.coalesce("stage", F.lit("deterministic"))).withColumn("confidence", F.bround(F.coalesce("confidence", F.lit(1.0)), 4)).drop("_ref")
+    none = F.array().cast("array<string>")
+    rules = F.array_sort(F.concat(F.coalesce("rules", none), F.when(F.col("_ref").isNotNull(), F.array(F.lit("exact-reference@v2"))).otherwise(none)))
+    alike = F.concat(F.lit("entries share the reference "), "_ref")
+    why = F.when(F.coalesce(F.length("why"), F.lit(-1)) >= F.coalesce(F.length(alike), F.lit(-1)), F.col("why")).otherwise(alike)
+    out = out.withColumn("rationale", why).withColumn("rules", rules).withColumn("stage", F.coalesce("stage", F.lit("deterministic")))
+    return out.withColumn("confidence", F.bround(F.coalesce("confidence", F.lit(1.0)), 4)).drop("_ref", "why")
 
 
 def admit(proposed: DataFrame, residual: DataFrame) -> DataFrame:
