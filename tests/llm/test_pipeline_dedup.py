@@ -67,3 +67,29 @@ def test_large_group_of_near_copies_against_brute_force(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_histograms_never_rule_out_copies():
+    import numpy as np
+    from tieout.llm.simhash import histogram, may_be_alike
+
+    rng = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 4000))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.concatenate([x[rng.random(len(x)) < rng.choice([0.5, 0.85, 0.95])], rng.integers(0, 2**63, int(len(x) * rng.choice([0, 0.1, 0.5]))).astype(np.uint64)])
+        y = np.unique(y)
+        common = len(np.intersect1d(x, y))
+        alike = 9 * common >= 4 * (len(x) + len(y))
+        assert may_be_alike(histogram(x), histogram(y)) or not alike
+        ruled_out += not may_be_alike(histogram(x), histogram(y))
+    assert ruled_out > 50
+
+
+def test_a_column_named_like_the_row_number_is_kept(spark):
+    from tieout.llm.simhash import drop_near_duplicates
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", 7, "k"), (2, "a b c d e f g", 8, "l"), (None, None, 9, "m")], "doc_id long, text string, _row long, root string")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "a b c d e f g", 7, "k"), (None, None, 9, "m")]

@@ -36,8 +36,8 @@ COPY_RADIUS = 23
 #: Rounds in which each text is compared with one text of each of its shingles, before all that are left.
 STARS = 2
 #: Documents of the sample that tells common shingles, and how many of these are told.
-SAMPLE = 8192
-COMMON = 100_000
+SAMPLE = 32_768
+COMMON = 200_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -297,8 +297,25 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t[order], n[order]
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall into each of 2^k cells, an eighth as many cells as hashes or more, 16 at least."""
+    cells = 16
+    while cells * 8 < len(hashes):
+        cells *= 2
+    return np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells)
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """False only if sets with these histograms have a similarity below 0.8: cells' counts differ by as much as the sets do at most."""
+    while len(x) > len(y):  # cells are the low bits, so halves add up
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return 9 * int(np.abs(x - y).sum()) <= int(x.sum() + y.sum())
+
+
 def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(_row, n, fp, prefix): size of the shingle set, fingerprint, and the set's first shingles, common ones last.
+    """(_row, n, fp, cells, prefix): size of the shingle set, fingerprint, histogram, and the set's first shingles, common ones last.
 
     Sets of similarity 0.8 share 0.8 of the larger one at least, so they meet in their first
     n - ceil(0.8 n) + 1 shingles by whatever order all sets follow.
@@ -307,7 +324,7 @@ def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            sizes, fps, kept = [], [], []
+            sizes, fps, cells, kept = [], [], [], []
             for t in batch.column("text").to_pylist():
                 h = shingle_hashes(t, COPY_SHINGLE)
                 s, rank = weighted_set(h), np.zeros(len(h), np.int64)
@@ -317,13 +334,29 @@ def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                 sizes.append(len(s))
                 fps.append(majority(h))
+                cells.append(histogram(s).astype("<u2" if len(s) < 65536 else "<u4").tobytes())
                 kept.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), flat)
             fps = longs(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), longs(sizes), fps, lists], ["_row", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), longs(sizes), fps, pa.array(cells, pa.binary()), lists], ["_row", "n", "fp", "cells", "prefix"])
+
+    return _texts(docs).mapInArrow(each, "_row long, n long, fp long, cells binary, prefix array<long>")
+
 
-    return _texts(docs).mapInArrow(each, "_row long, n long, fp long, prefix array<long>")
+def _plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose histograms let their sets be alike: decided without texts, and no pair of similarity 0.8 is lost."""
+
+    def cells(column, n) -> list[np.ndarray]:
+        return [np.frombuffer(c, "<u2" if k < 65536 else "<u4").astype(np.int64) for c, k in zip(column.to_pylist(), n.to_pylist())]
+
+    def each(batches):
+        for batch in batches:
+            both = zip(cells(batch.column("x"), batch.column("xn")), cells(batch.column("y"), batch.column("yn")))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_alike(x, y) for x, y in both], pa.bool_()))
+
+    of = lambda p, c: marked.select(F.col("_row").alias(p), F.col("cells").alias(c), F.col("n").alias(f"{c}n"))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(each, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -351,15 +384,16 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for each ``_row`` of ``docs``, those of ``rows`` with distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
 
-    Texts that share a prefix shingle are compared. At first each is compared with one of its
-    shingle's texts only, where fingerprints are within COPY_RADIUS; then with all that lie in
-    other components by then, whatever their fingerprints. So no pair is lost, and a large group
-    of copies has joined up before pairs of it are made.
+    Texts that share a prefix shingle are compared, if their histograms allow it. At first each is
+    compared with one of its shingles' texts only, the same one wherever it occurs, where fingerprints
+    are within COPY_RADIUS; then with all that lie in other components by then, whatever their
+    fingerprints. So no pair is lost, and a large group of copies has joined up before pairs of it are made.
     """
     marked = cut(_prefixes(docs, rows), "prefixes")
     probes = marked.select("_row", "n", "fp", F.posexplode("prefix").alias("pos", "t"))
     full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(probes.join(full, "t"), "buckets")
+    held = cut(marked.drop("prefix"), "histograms")
     discard(marked)
     del probes, full, marked, docs
     rows.sparkSession._jvm.System.gc()
@@ -373,20 +407,23 @@ def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
             mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
             now = now.join(mixed, "t", "left_semi")
         if salt < STARS:
-            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
+            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
             pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike} and bit_count(x.fp ^ y.fp) <= {COPY_RADIUS}")
         else:
             tiled = now.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("r", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("blocks")).cast("int"))
             tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("r", "o"), "j": F.greatest("r", "o")})
             tiled = tiled.select("t", "i", "j", "r", "_row", "n", "pos", "comp")
             pairs = tiled.alias("x").join(tiled.alias("y"), ["t", "i", "j"]).where(f"x.r = i and y.r = j and (i < j or x._row < y._row) and x.comp <> y.comp and {alike}")
-        pairs = cut(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct(), "pairs")
+        met = cut(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct(), "met")
+        pairs = cut(_plausible(met, held), "pairs")
+        discard(met)
         found = _verified(pairs, rows)
         discard(pairs)
         edges = found if edges is None else edges.unionByName(found)
         roots = cut(connected_components(edges), "roots")
         rows.sparkSession._jvm.System.gc()  # Spark then deletes shuffle files that no plan uses
     discard(buckets)
+    discard(held)
     return roots
 
 
@@ -396,10 +433,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Similarity is Jaccard's over shingles with their multiplicity. Texts of the same words are
     copies, thus all texts without words.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    kept = cut(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    rows = kept.select(F.col(own).alias("_row"), "doc_id", "text")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("least")
     firsts = cut(_digests(rows).groupBy("d1", "d2").agg(least).select("least"), "firsts")
     roots = copy_components(rows.join(firsts.select("least._row"), "_row", "left_semi"), rows)
     named = firsts.select("least", F.col("least._row").alias("node")).join(roots, "node", "left")
-    keep = named.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
-    return rows.join(keep.select("least._row"), "_row", "left_semi").drop("_row")
+    keep = cut(named.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least")).select(F.col("least._row").alias(own)), "keep")
+    discard(firsts)
+    return kept.join(keep, own, "left_semi").drop(own)
