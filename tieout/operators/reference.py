@@ -45,8 +45,9 @@ def deduction_links(clustered: DataFrame) -> DataFrame:
     pay = clustered.where("source = 'payment'")
     handle = F.explode(F.array(_key("reference"), _key("id"))).alias("handle")
     named = F.struct("ord", F.col("id").alias("payment_id"), F.col("amount").alias("payment_amount"), F.col("currency").alias("payment_currency"), F.col("comp").alias("payment_comp"))
-    handles = pay.select(handle, named.alias("p")).where("handle <> ''").groupBy("handle").agg(F.min("p").alias("p"))
     taken = clustered.where(F.col("source").isin(DEDUCTIONS)).withColumn("handle", _key("related")).where("handle <> ''")
+    asked = taken.select("handle").distinct()
+    handles = pay.select(handle, named.alias("p")).join(asked, "handle", "left_semi").groupBy("handle").agg(F.min("p").alias("p"))
     found = taken.join(handles, "handle").select("id", "source", "amount", "currency", "value_date", "ord", "comp", F.col("p.payment_id"), F.col("p.payment_amount"), F.col("p.payment_currency"), F.col("p.payment_comp"))
     found = found.withColumn("same", F.col("currency") == F.col("payment_currency"))
     w = Window.partitionBy("payment_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)

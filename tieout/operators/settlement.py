@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tieout.conf import Settings
 from tieout.operators.reference import references_contradict
 from tieout.operators.solver import assign_subsets, one_of_alike, unique_links
-from tieout.operators.units import gross_as_of, has, units
+from tieout.operators.units import gross_as_of, has, payout_units, units
 from tieout.tables import cut
 
 #: Minor units of a join bucket of amounts.
@@ -26,8 +26,11 @@ def _bucket(c: Column) -> Column:
 
 def _anchors(clustered: DataFrame, source: str, unit_table: DataFrame, lacking: str, target: Column) -> DataFrame:
     """Entries of a source whose component lacks another source."""
-    open_ = unit_table.where(has(source) & ~has(lacking)).select("comp")
-    rows = clustered.where(F.col("source") == source).join(open_, "comp", "left_semi")
+    return _anchored(clustered.where(F.col("source") == source), unit_table.where(has(source) & ~has(lacking)), target)
+
+
+def _anchored(entries: DataFrame, open_: DataFrame, target: Column) -> DataFrame:
+    rows = entries.join(open_.select("comp"), "comp", "left_semi")
     return rows.select(F.col("ord").alias("anchor"), F.col("id").alias("anchor_id"), "comp", "currency", "value_date", "reference", target.alias("target"))
 
 
@@ -148,9 +151,9 @@ def late_candidates(anchors: DataFrame, free: DataFrame, settings: Settings = Se
 
 def link_banks(clustered: DataFrame, settings: Settings = Settings(), subsets: bool = True) -> DataFrame:
     """JN10, JN11: (anchor, unit, rule, conf) of positive bank credits and the payouts behind them."""
-    table = cut(units(clustered), "units")
-    anchors = cut(_anchors(clustered.where("source <> 'bank' or amount > 0"), "bank", table, "settlement", F.col("amount")), "anchors")
-    free = table.where(has("settlement") & ~has("bank")).select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), F.array_sort("refs").alias("refs"), "setl_dates", "dates")
+    table = cut(payout_units(clustered), "units")
+    anchors = cut(_anchored(clustered.where("source = 'bank' and amount > 0"), table.where("not paid"), F.col("amount")), "anchors")
+    free = table.where("paid").select(F.col("comp").alias("unit"), F.col("ord").alias("uord"), "currency", F.col("net").alias("value"), F.array_sort("refs").alias("refs"), "setl_dates", "dates")
     # an anchor lacks a payout and a unit has one, so no unit is an anchor's own component
     payouts = one_of_alike(free.select("unit", "currency", "value", "setl_dates", "refs"), ["currency", "value", "setl_dates", "refs"])
     near = _near(anchors.select("anchor", "currency", "value_date", "target", "reference"), payouts.withColumn("day", F.explode("setl_dates")), 0, 0)

@@ -43,3 +43,18 @@ def gross_as_of(when: Column, base: str = "base_gross", events: str = "events")
 
 def has(source: str) -> Column:
     return F.array_contains("sources", source)
+
+
+def payout_units(clustered: DataFrame) -> DataFrame:
+    """AG1 for bank links: components with a payout or a bank entry but not both, those that have both are done.
+
+    Which they are is told by two flags first, so that dates and references are gathered of the open ones only.
+    """
+    flags = clustered.where(F.col("source").isin("settlement", "bank")).groupBy("comp").agg(F.bool_or(F.col("source") == "settlement").alias("paid"), F.bool_or(F.col("source") == "bank").alias("credited"))
+    rows = clustered.join(flags.where("paid <> credited"), "comp")
+    of = lambda s, c: F.when(F.col("source") == s, F.col(c))
+    u = rows.groupBy("comp", "paid").agg(
+        F.min_by("currency", "ord").alias("currency"), F.min("ord").alias("ord"), F.max("amount").alias("largest"), F.sum(of("settlement", "amount")).alias("setl"), F.sum(of("bank", "amount")).alias("bank"),
+        F.array_sort(F.collect_set(of("settlement", "value_date"))).alias("setl_dates"), F.collect_set("value_date").alias("dates"), F.collect_set(F.lower(F.trim("reference"))).alias("refs"),
+    )
+    return u.withColumn("net", F.coalesce(_non_zero(F.col("setl")), _non_zero(F.col("bank")), F.col("largest")))

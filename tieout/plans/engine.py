@@ -126,14 +126,13 @@ def stages(g: DataFrame, s_links: DataFrame, b_links: DataFrame, deductions: Dat
     edges = ruled.unionByName(resolved).join(final.select("ord", "comp"), "ord")
     longest = F.max_by("why", F.struct(F.length("why"), -F.col("ord")))
     said = edges.groupBy("comp").agg(F.max_by("stage", rank).alias("stage"), F.min("conf").alias("confidence"), F.collect_set("rule").alias("rules"), longest.alias("why"))
-    shared = final.where("ref is not null").groupBy("comp", "ref").count().where("count > 1").groupBy("comp").agg(F.min("ref").alias("_ref"))
-    out = g.join(said, "comp", "left").join(shared, "comp", "left")
+    out = g.join(said, "comp", "left")
     none = F.array().cast("array<string>")
-    rules = F.array_sort(F.concat(F.coalesce("rules", none), F.when(F.col("_ref").isNotNull(), F.array(F.lit("exact-reference@v2"))).otherwise(none)))
-    alike = F.concat(F.lit("entries share the reference "), "_ref")
+    rules = F.array_sort(F.concat(F.coalesce("rules", none), F.when(F.col("shared_ref").isNotNull(), F.array(F.lit("exact-reference@v2"))).otherwise(none)))
+    alike = F.concat(F.lit("entries share the reference "), "shared_ref")
     why = F.when(F.coalesce(F.length("why"), F.lit(-1)) >= F.coalesce(F.length(alike), F.lit(-1)), F.col("why")).otherwise(alike)
     out = out.withColumn("rationale", why).withColumn("rules", rules).withColumn("stage", F.coalesce("stage", F.lit("deterministic")))
-    return out.withColumn("confidence", F.bround(F.coalesce("confidence", F.lit(1.0)), 4)).drop("_ref", "why")
+    return out.withColumn("confidence", F.bround(F.coalesce("confidence", F.lit(1.0)), 4)).drop("shared_ref", "why")
 
 
 def admit(proposed: DataFrame, residual: DataFrame) -> DataFrame:

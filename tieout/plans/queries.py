@@ -337,7 +337,9 @@ def _linked(spark, sf, subsets=False):
 
 @query(f"{_SALES} SELECT sk k, uk unit, 'payment-to-settlement@v1' AS rule FROM l1")
 def settlement_one_to_one(spark, sf):
-    _, _, links, _ = _linked(spark, sf)
+    settings = Settings.of(spark)
+    clustered, _ = cluster(batch(spark, sf), settings)
+    links, _ = settlement.link_settlements(cut(clustered.drop("prev_id"), "clustered"), settings, subsets=False)
     return links.where("rule = 'payment-to-settlement@v1'").select((F.col("anchor") % SPAN).alias("k"), (F.col("unit") % SPAN).alias("unit"), "rule")
 
 
@@ -554,13 +556,13 @@ def category_accuracy(spark, sf):
 # ---- worklist -------------------------------------------------------------------------------------
 
 _FIRST, _SECOND = "k % 3 <> 0 AND d < DATE '1999-01-01'", "k % 5 <> 0"
-_ITEMS = f""", i AS (SELECT 'pay_' || k entry_id, g amount, k, d, 'pay_' || k || '|missing_in_bank|' || g || '|' || cur fingerprint FROM base WHERE st = 'O'), r1 AS (SELECT * FROM i WHERE {_FIRST}), r2 AS (SELECT * FROM i WHERE {_SECOND}),
+_ITEMS = f""", i AS (SELECT 'pay_' || k entry_id, g amount, k, d, 'pay_' || k || '|missing_in_bank|' || g || '|' || cur fingerprint FROM base), r1 AS (SELECT * FROM i WHERE {_FIRST}), r2 AS (SELECT * FROM i WHERE {_SECOND}),
     w AS (SELECT coalesce(r2.fingerprint, r1.fingerprint) fingerprint, coalesce(r2.amount, r1.amount) amount, CASE WHEN r2.fingerprint IS NULL AND r1.k % 2 = 0 THEN 'resolved' ELSE 'open' END status, CASE WHEN r1.fingerprint IS NULL THEN 'r2' ELSE 'r1' END first_run,
       CAST(r1.fingerprint IS NOT NULL AS BIGINT) + CAST(r2.fingerprint IS NOT NULL AS BIGINT) times_seen, r1.fingerprint IS NULL fresh, r2.fingerprint IS NULL AND r1.k % 2 = 0 gone FROM r1 FULL JOIN r2 ON r1.fingerprint = r2.fingerprint)"""
 
 
 def _two_runs(spark, sf):
-    b = _base(spark, sf).where("st = 'O'")
+    b = _base(spark, sf)
     own = F.concat(F.lit("pay_"), _text())
 
     def items(when):
