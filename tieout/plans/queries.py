@@ -882,3 +882,79 @@ def subsets_past_budget(spark, sf):
     clustered, _ = cluster(as_entries(parts.unionByName(whole, allowMissingColumns=True).withColumns({"fee": F.lit(0), "tax": F.lit(0)})))
     links, _ = settlement.link_settlements(cut(clustered.drop("prev_id"), "clustered"))
     return links.where("rule = 'split-settlement@v1'").select((F.col("anchor") - SPAN).alias("b"), "unit")
+
+
+# ---- the whole engine, held against what was planted ----------------------------------------------
+
+_PLANTED = """, p AS (SELECT k, g, k % 8 s, 'pay_' || k pay, 'set_' || k set_, 'bnk_' || k bnk, 'led_' || k led FROM base)"""
+
+
+def _planted(spark, sf):
+    """Every order one of eight situations, 200 days and, every 160 orders, a currency apart from the others (more of one currency would crowd the resolver's windows).
+
+    0 a sale, paid out and credited; 1 two sales in one payout; 2 the same ledger row twice; 3 a lost chargeback before the payout;
+    4 two equal sales and one payout; 5 a payout 30 days late; 6 a refund of nothing and a ledger row; 7 a credit and a ledger row without references.
+    """
+    b = _base(spark, sf)
+    s, k = _k() % 8, _text()
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (_k() % 160 * 200).cast("int"))
+    at = lambda n: F.date_add(day, n)
+
+    def leg(when, source, id_, amount, date, reference=None, narration=None, related=None, dispute=None, nth=0):
+        none = F.lit(None).cast("string")
+        return F.when(when, F.struct(
+            F.lit(source).alias("source"), id_.alias("id"), amount.cast("long").alias("amount"), date.alias("value_date"), (none if reference is None else reference).alias("reference"), (none if narration is None else narration).alias("narration"),
+            (none if related is None else related).alias("related"), F.lit(dispute).cast("string").alias("dispute"), (F.lit(nth * SPAN) + _k()).alias("ord"),
+        ))
+
+    named = lambda prefix, suffix="": F.concat(F.lit(prefix), k, F.lit(suffix))
+    g, part, lost = F.col("g"), F.call_function("div", F.col("g"), F.lit(3)) + 1, F.call_function("div", F.col("g"), F.lit(4))
+    paid = F.when(s == 3, g - lost).otherwise(g)
+    when = F.when(s == 5, at(30)).otherwise(at(2))
+    legs = F.array(
+        leg(~s.isin(6, 7), "payment", named("pay_"), F.when(s == 1, part).otherwise(g), day, named("ORD")),
+        leg(s.isin(1, 4), "payment", named("pay_", "b"), F.when(s == 1, g - part).otherwise(g), day, named("ORD", "b"), nth=1),
+        leg(~s.isin(6, 7), "settlement", named("set_"), paid, when, named("UTR"), nth=2),
+        leg(~s.isin(6, 7), "bank", named("bnk_"), paid, when, named("UTR"), nth=3),
+        leg(s == 7, "bank", named("bnk_"), g, at(1), narration=named("acme", " invoice"), nth=3),
+        leg(s.isin(0, 2), "ledger", named("led_"), g, day, named("ORD"), nth=4),
+        leg(s == 2, "ledger", named("led_", "b"), g, day, named("ORD"), nth=5),
+        leg(s.isin(6, 7), "ledger", named("led_"), g, day, narration=F.when(s == 6, named("other")).otherwise(F.concat(F.lit("invoice acme"), k)), nth=4),
+        leg(s == 3, "chargeback", named("cb_"), lost, at(1), named("cb_"), related=named("pay_"), dispute="lost", nth=6),
+        leg(s == 6, "refund", named("rf_"), g, day, named("rf_"), related=F.lit("nothing"), nth=6),
+    )
+    currency = F.concat(F.lit("C"), F.call_function("div", _k(), F.lit(160)).cast("string"))
+    rows = b.select(currency.alias("currency"), F.explode(F.array_compact(legs)).alias("e")).select("e.*", "currency")
+    return as_entries(rows.withColumns({"fee": F.lit(0), "tax": F.lit(0)}))
+
+
+@query(
+    f"""{_PLANTED}, x AS (SELECT *, CASE s WHEN 0 THEN bnk || ',' || led || ',' || pay || ',' || set_ WHEN 1 THEN bnk || ',' || pay || ',' || pay || 'b,' || set_ WHEN 2 THEN bnk || ',' || led || ',' || pay || ',' || set_
+        WHEN 3 THEN bnk || ',cb_' || k || ',' || pay || ',' || set_ WHEN 4 THEN bnk || ',' || set_ WHEN 5 THEN bnk || ',' || pay || ',' || set_ WHEN 7 THEN bnk || ',' || led END entry_ids FROM p WHERE s <> 6)
+    SELECT entry_ids, CASE s WHEN 4 THEN 'deterministic' WHEN 7 THEN 'heuristic' ELSE 'structural' END stage,
+      CASE s WHEN 1 THEN 'exact-reference@v2+split-settlement@v1' WHEN 3 THEN 'chargeback-to-payment@v1+exact-reference@v2+payment-to-settlement@v1' WHEN 4 THEN 'exact-reference@v2' WHEN 5 THEN 'exact-reference@v2+late-payout@v1'
+        WHEN 7 THEN 'heuristic-pair@v1' ELSE 'exact-reference@v2+payment-to-settlement@v1' END rules,
+      CAST(CASE s WHEN 1 THEN 92 WHEN 4 THEN 100 WHEN 5 THEN 90 WHEN 7 THEN 90 ELSE 98 END AS BIGINT) confidence, CASE s WHEN 4 THEN 'unbooked_payout' ELSE 'complete' END status, g amount, left(CASE s WHEN 7 THEN 'H' ELSE 'G' END, 1) series FROM x"""
+)
+def reconcile_planted(spark, sf):
+    """Every rule, the resolver and the classifier over all orders, one planted situation each: the groups."""
+    g = reconcile(_planted(spark, sf), Settings.of(spark)).groups
+    return g.select(
+        F.array_join("entry_ids", ",").alias("entry_ids"), "stage", F.array_join("rules", "+").alias("rules"), F.round(F.col("confidence") * 100).cast("long").alias("confidence"), "status", F.col("amount").cast("long").alias("amount"), F.substring("group_id", 1, 1).alias("series")
+    )
+
+
+@query(
+    f"""{_PLANTED} SELECT led || 'b' id, 'ledger' source, 'duplicate' category, g amount FROM p WHERE s = 2 UNION ALL SELECT pay, 'payment', 'missing_in_bank', g FROM p WHERE s = 4 UNION ALL SELECT pay || 'b', 'payment', 'missing_in_bank', g FROM p WHERE s = 4
+    UNION ALL SELECT 'rf_' || k, 'refund', 'orphan_refund', g FROM p WHERE s = 6
+    UNION ALL SELECT led, 'ledger', CASE WHEN EXISTS (SELECT 1 FROM (SELECT CASE s WHEN 3 THEN g - g // 4 ELSE g END amount FROM p WHERE s <> 6) o, (VALUES (-1), (0), (1)) w(w) WHERE o.amount // 201 = r.g // 201 + w.w AND abs(o.amount - r.g) <= 100) THEN 'amount_mismatch' ELSE 'missing_in_bank' END, g FROM p r WHERE s = 6"""
+)
+def reconcile_planted_exceptions(spark, sf):
+    """The same run's exceptions."""
+    return reconcile(_planted(spark, sf), Settings.of(spark)).exceptions.select("id", "source", "category", F.col("amount").cast("long").alias("amount"))
+
+
+@query(f"""{_PLANTED} SELECT 'ambiguous-single@v1' AS rule, pay || ',' || pay || 'b,' || set_ inputs, 'structural' AS stage, 'exception' outcome FROM p WHERE s = 4""")
+def reconcile_planted_refusals(spark, sf):
+    """The same run's refusals: two sales that one payout may have paid."""
+    return reconcile(_planted(spark, sf), Settings.of(spark)).refused.select("rule", F.array_join("inputs", ",").alias("inputs"), "stage", "outcome")
