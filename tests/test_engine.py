@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tieout.conf import Settings
 from tieout.functions import fees
-from tieout.operators import resolver, settlement, solver
+from tieout.operators import reference, resolver, settlement, solver
 from tieout.operators.settlement import link_settlements
 from tieout.operators.solver import _sweep, contested_links, propagate, subset_options
 from tieout.operators.worklist import Worklist
@@ -239,7 +239,7 @@ def test_pools_against_each_pair(spark):
     assert {r.anchor: [(u.unit, u.amount) for u in r.pool] for r in pools.collect()} == plain_pools(anchors, sales, 2, 12)
 
 
-def test_candidate_pairs_against_each_pair(spark):
+def test_candidate_pairs_against_each_pair(spark, many_parts):
     rng = random.Random(7)
     rows = [(f"e{i}", rng.choice(["bank", "ledger"]), rng.choice([-1, 1]) * rng.choice([rng.randint(1, 3000), rng.randint(10**5, 3 * 10**5), 777]), D, f"r{i}") for i in range(400)]
     batch = entries(spark, rows)
@@ -285,3 +285,26 @@ def test_rate_card_override(spark, tmp_path):
     assert card["card"] == (200, 300, 1800) and card["upi"] == (0, 0, 1800) and card["voucher"] == (50, 0, 1800)
     (tmp_path / "bad.json").write_text("no json")
     assert fees.rate_card(spark, str(tmp_path / "bad.json")).collect() == fees.rate_card(spark).collect()
+
+
+@pytest.fixture()
+def many_parts(spark):
+    """Small tables in as many parts as they are dealt into."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_hot_reference_by_ranges_equals_the_window(spark, many_parts):
+    rng = random.Random(11)
+    refs = ["hot"] * 60 + ["Warm "] * 20 + [f"r{i}" for i in range(40)] + [None, ""]
+    rows = [(f"e{i}", "bank", rng.choice([rng.randint(0, 4000), 777, -50]), D, rng.choice(refs)) for i in range(1500)]
+    batch = entries(spark, rows).withColumn("currency", F.when(F.col("ord") % 7 == 0, "USD").otherwise("INR"))
+    of = lambda rows: sorted(map(tuple, rows.select("id", "ord", "ref", "comp", "prev_id").collect()))
+    plain = of(reference.exact_reference(batch))
+    assert reference.hot_references(batch) is None
+    hot = reference.hot_references(batch, 100)
+    assert {tuple(r) for r in hot.collect()} >= {("hot", "INR"), ("warm", "INR")} and hot.count() < 20
+    assert of(reference.exact_reference(batch, hot=hot)) == plain
+    parts = reference._clusters_by_range(batch.withColumn("ref", F.lit("hot")), 100).groupBy("_part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 1500 * 0.6

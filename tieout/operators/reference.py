@@ -7,28 +7,69 @@ from pyspark.sql import functions as F
 
 from tieout.operators.graph import connected_components
 from tieout.schema import DEDUCTIONS
+from tieout.tables import cut
+
+#: Entries of one reference that one task may sort.
+HOT = 1_000_000
 
 
 def _key(c: str):
     return F.lower(F.trim(F.col(c)))
 
 
-def exact_reference(entries: DataFrame, tolerance: int = 100) -> DataFrame:
+def _reference():
+    return F.when(F.col("reference") != "", _key("reference"))
+
+
+def hot_references(entries: DataFrame, rows: int = HOT) -> DataFrame | None:
+    """(ref, currency) of more than ``rows`` entries, at most one in ``rows`` of all; None where there are too few entries for any."""
+    if entries.limit(rows + 1).count() <= rows:
+        return None
+    found = entries.select(_reference().alias("ref"), "currency").where("ref is not null").groupBy("ref", "currency").count().where(F.col("count") > rows)
+    return cut(found.select("ref", "currency"), "hot")
+
+
+def exact_reference(entries: DataFrame, tolerance: int = 100, hot: DataFrame | None = None) -> DataFrame:
     """JN1: ``entries`` with ``comp``, the first ``ord`` of its cluster, and ``prev_id``, the member before it.
 
     Entries of one reference and currency are ordered by amount; a step of more than ``tolerance``
-    starts a new cluster. Both windows run on one shuffle by (reference, currency).
+    starts a new cluster. Both windows run on one shuffle by (reference, currency); references of
+    ``hot`` go by ranges of amounts instead, so that one of them is many tasks.
     """
-    ref = F.when(F.col("reference") != "", _key("reference"))
-    rows = entries.withColumn("ref", ref)
+    rows = entries.withColumn("ref", _reference())
     held = rows.where("ref is not null")
+    spread = None
+    if hot is not None:
+        spread = _clusters_by_range(held.join(hot, ["ref", "currency"], "left_semi"), tolerance)
+        held = held.join(hot, ["ref", "currency"], "left_anti")
+    columns = rows.columns
     w = Window.partitionBy("ref", "currency").orderBy("amount", "ord")
     gap = F.col("amount") - F.lag("amount").over(w)
     held = held.withColumn("_new", F.coalesce((gap > tolerance).cast("int"), F.lit(1))).withColumn("_id", F.lag("id").over(w))
     held = held.withColumn("_island", F.sum("_new").over(w))
     held = held.withColumn("comp", F.min("ord").over(Window.partitionBy("ref", "currency", "_island")))
-    held = held.withColumn("prev_id", F.when(F.col("_new") == 0, F.col("_id"))).drop("_new", "_id", "_island")
-    return held.unionByName(rows.where("ref is null").withColumn("comp", F.col("ord")).withColumn("prev_id", F.lit(None).cast("string")))
+    held = held.withColumn("prev_id", F.when(F.col("_new") == 0, F.col("_id"))).select(*columns, "comp", "prev_id")
+    alone = rows.where("ref is null").withColumn("comp", F.col("ord")).withColumn("prev_id", F.lit(None).cast("string"))
+    out = held.unionByName(alone)
+    return out if spread is None else out.unionByName(spread.select(out.columns))
+
+
+def _clusters_by_range(held: DataFrame, tolerance: int) -> DataFrame:
+    """The same clusters from rows dealt out by ranges: each part looks back at the last row of the part before it, and counts on from its clusters."""
+    order = ["ref", "currency", "amount", "ord"]
+    parts = cut(held.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    row = F.struct("ref", "currency", "amount", "id")
+    by_part = Window.orderBy("_part")  # a row a part
+    ends = parts.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_end")).select("_part", F.lag("_end").over(by_part).alias("_end"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    rows = parts.join(F.broadcast(ends), "_part").withColumn("_before", F.coalesce(F.lag(row).over(w), F.col("_end"))).drop("_end")
+    before = F.col("_before")
+    goes_on = (before["ref"] == F.col("ref")) & (before["currency"] == F.col("currency")) & (F.col("amount") - before["amount"] <= tolerance)
+    rows = rows.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("long")).withColumn("prev_id", F.when(F.col("_new") == 0, before["id"])).drop("_before")
+    counts = rows.groupBy("_part").agg(F.sum("_new").alias("_n")).select("_part", (F.sum("_n").over(by_part) - F.col("_n")).alias("_base"))
+    rows = rows.join(F.broadcast(counts), "_part").withColumn("_island", F.col("_base") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = rows.groupBy("_island").agg(F.min("ord").alias("comp"))
+    return rows.join(first, "_island")
 
 
 def reference_edges(clustered: DataFrame) -> DataFrame:

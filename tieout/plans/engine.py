@@ -58,9 +58,9 @@ class Result:
         return placed + self.exceptions.count() == self.clustered.count()
 
 
-def cluster(entries: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(entries with comp after the two reference rules, deduction links)."""
-    first = cut(reference.exact_reference(entries, settings.tolerance), "clusters")
+def cluster(entries: DataFrame, settings: Settings = Settings(), hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries with comp after the two reference rules, deduction links). hot: references that one task must not hold."""
+    first = cut(reference.exact_reference(entries, settings.tolerance, hot), "clusters")
     links = cut(reference.deduction_links(first), "deductions")
     return reference.merge_deductions(first, links), links
 
@@ -72,7 +72,7 @@ def reconcile(entries: DataFrame, settings: Settings = Settings(), subsets: bool
     outside one, see :mod:`tieout.operators.dispatch`.
     """
     entries = cut(entries, "entries")
-    clustered, deductions = cluster(entries, settings)
+    clustered, deductions = cluster(entries, settings, reference.hot_references(entries))
     clustered = cut(clustered.drop("prev_id"), "clustered")
     s_links, ambiguous = settlement.link_settlements(clustered, settings, subsets)
     s_links = cut(s_links, "payouts")
