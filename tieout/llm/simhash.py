@@ -315,7 +315,7 @@ def may_be_alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(_row, n, fp, cells, prefix): size of the shingle set, fingerprint, histogram, and the set's first shingles, common ones last.
+    """(_row, n, fp, central, cells, prefix): size of the shingle set, fingerprint, how common its shingles are, histogram, and the set's first shingles, common ones last.
 
     Sets of similarity 0.8 share 0.8 of the larger one at least, so they meet in their first
     n - ceil(0.8 n) + 1 shingles by whatever order all sets follow.
@@ -324,7 +324,7 @@ def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            sizes, fps, cells, kept = [], [], [], []
+            sizes, fps, central, cells, kept = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 h = shingle_hashes(t, COPY_SHINGLE)
                 s, rank = weighted_set(h), np.zeros(len(h), np.int64)
@@ -334,14 +334,15 @@ def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                 sizes.append(len(s))
                 fps.append(majority(h))
+                central.append(min(1 << 30, 100 * int(rank.sum()) // max(1, len(s))))
                 cells.append(histogram(s).astype("<u2" if len(s) < 65536 else "<u4").tobytes())
                 kept.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), flat)
             fps = longs(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), longs(sizes), fps, pa.array(cells, pa.binary()), lists], ["_row", "n", "fp", "cells", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), longs(sizes), fps, pa.array(central, pa.int32()), pa.array(cells, pa.binary()), lists], ["_row", "n", "fp", "central", "cells", "prefix"])
 
-    return _texts(docs).mapInArrow(each, "_row long, n long, fp long, cells binary, prefix array<long>")
+    return _texts(docs).mapInArrow(each, "_row long, n long, fp long, central int, cells binary, prefix array<long>")
 
 
 def _plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -385,15 +386,15 @@ def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for each ``_row`` of ``docs``, those of ``rows`` with distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
 
     Texts that share a prefix shingle are compared, if their histograms allow it. At first each is
-    compared with one of its shingles' texts only, the same one wherever it occurs, where fingerprints
-    are within COPY_RADIUS; then with all that lie in other components by then, whatever their
+    compared with one of its shingles' texts only, the one of the most common shingles (what copies were
+    made of, rather than one of them) and then one by hash, where fingerprints are within COPY_RADIUS; then with all that lie in other components by then, whatever their
     fingerprints. So no pair is lost, and a large group of copies has joined up before pairs of it are made.
     """
     marked = cut(_prefixes(docs, rows), "prefixes")
-    probes = marked.select("_row", "n", "fp", F.posexplode("prefix").alias("pos", "t"))
+    probes = marked.select("_row", "n", "fp", "central", F.posexplode("prefix").alias("pos", "t"))
     full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(probes.join(full, "t"), "buckets")
-    held = cut(marked.drop("prefix"), "histograms")
+    held = cut(marked.select("_row", "n", "cells"), "histograms")
     discard(marked)
     del probes, full, marked, docs
     rows.sparkSession._jvm.System.gc()
@@ -407,7 +408,8 @@ def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
             mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
             now = now.join(mixed, "t", "left_semi")
         if salt < STARS:
-            head = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("_row", F.lit(salt)).alias("h"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
+            first = F.struct((-F.col("central") if salt == 0 else F.lit(0)).alias("c"), F.xxhash64("_row", F.lit(salt)).alias("h"))
+            head = now.groupBy("t").agg(F.min(F.struct(first.alias("first"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
             pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike} and bit_count(x.fp ^ y.fp) <= {COPY_RADIUS}")
         else:
             tiled = now.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("r", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("blocks")).cast("int"))
