@@ -183,7 +183,9 @@ def test_graph_recall_of_links_to_others(n):
     u = planted_vectors(n)
     ids, one = np.arange(n) * 3 + 1, np.ones(n, np.int64)
     true = np.concatenate([(u[i : i + 500] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 500)])
-    found = hnsw.links_of(hnsw.Graph(u), u, ids, one, u, ids).linked
+    links = hnsw.links_of(hnsw.Graph(u), u, ids, one, u, ids, one)
+    assert links.linked.sum() == links.back.sum()  # each link at both ends
+    found = links.linked + links.back
     few = true <= 20  # planted pairs by themselves, which a large group would outweigh
     print("recall", n, found.sum() / true.sum(), found[few].sum() / true[few].sum())
     assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and found[few].sum() >= 0.98 * true[few].sum()

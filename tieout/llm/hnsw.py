@@ -171,20 +171,24 @@ class Graph:
 
 
 class Links:
-    """What the links of one task come to: each query's weight of linked others, and a spanning forest of shard and queries."""
+    """What the links of one task come to: the weight of linked others of each query and of each place of the shard, and a spanning forest of both.
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, asked: np.ndarray):
-        self.weight = weight
+    A link counts where the smaller node asks, at both ends, so both ends always agree on it.
+    """
+
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, asked: np.ndarray, own: np.ndarray):
+        self.weight, self.own = weight, own
         self.names, at = np.unique(np.concatenate((ids, asked)), return_inverse=True)
         self.v_at, self.q_at = at[: len(ids)], at[len(ids) :]
         self.root = np.arange(len(self.names))
-        self.linked = np.zeros(len(asked), np.int64)
+        self.linked, self.back = np.zeros(len(asked), np.int64), np.zeros(len(ids), np.int64)
 
     def add(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Take in links of queries to places in the shard; how many of them go to others, by query."""
-        other = self.q_at[q] != self.v_at[v]
-        q, v = q[other], v[other]
+        """Take in links of queries to places in the shard; the queries of those that count."""
+        larger = self.q_at[q] < self.v_at[v]  # names are sorted, so places compare as nodes do
+        q, v = q[larger], v[larger]
         np.add.at(self.linked, q, self.weight[v])
+        np.add.at(self.back, v, self.own[q])
         a, b = self.q_at[q], self.v_at[v]
         while len(a):
             x, y = self.root[a], self.root[b]
@@ -232,14 +236,14 @@ def _found(graph: Graph, v: np.ndarray, q: np.ndarray, beam: int, least: float)
         rest, width = np.concatenate(full), 4 * beam if width == beam and 16 * beam <= n else n
 
 
-def links_of(graph: Graph, v: np.ndarray, ids: np.ndarray, weight: np.ndarray, q: np.ndarray, asked: np.ndarray, least: float = SIMILARITY) -> Links:
-    """Links of queries (unit vectors ``q`` of nodes ``asked``) to a shard's (``v`` of nodes ``ids``)."""
+def links_of(graph: Graph, v: np.ndarray, ids: np.ndarray, weight: np.ndarray, q: np.ndarray, asked: np.ndarray, own: np.ndarray, least: float = SIMILARITY) -> Links:
+    """Links of queries (unit vectors ``q`` of nodes ``asked``, weights ``own``) to a shard's (``v`` of nodes ``ids``)."""
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = Links(ids, weight, asked[audit])
+    truth = Links(ids, weight, asked[audit], own[audit])
     there = sum(len(truth.add(x, y)) for x, y in _all_of(v, q[audit], least))
     beam = BEAM
     while True:
-        out, met = Links(ids, weight, asked), 0
+        out, met = Links(ids, weight, asked, own), 0
         for x, y in _found(graph, v, q, beam, least):
             met += int(np.isin(out.add(x, y), audit).sum())
         if met >= RECALL * there or beam >= len(v):
@@ -276,7 +280,7 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     graphs = cut(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs", "none")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = dealt.select("node", "v", "dim", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), every.alias("shard"))
+    queries = dealt.select("node", "weight", "v", "dim", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), every.alias("shard"))
     copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def query(graph: pa.Table, asked: pa.Table) -> pa.Table:
@@ -284,11 +288,11 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if graph.num_rows and asked.num_rows:
             small_world, v, ids, weight = pickle.loads(graph.column("graph")[0].as_py())
             me = asked.column("node").to_numpy()
-            found = links_of(small_world, v, ids, weight, _unit(asked.column("v")), me, least)
-            some = np.flatnonzero(found.linked)
+            found = links_of(small_world, v, ids, weight, _unit(asked.column("v")), me, asked.column("weight").to_numpy(), least)
+            some, back = np.flatnonzero(found.linked), np.flatnonzero(found.back)
             child, root = found.forest()
-            a, b = np.concatenate((me[some], child)), np.concatenate((me[some], root))
-            w = np.concatenate((found.linked[some], np.zeros(len(child), np.int64)))
+            a, b = np.concatenate((me[some], ids[back], child)), np.concatenate((me[some], ids[back], root))
+            w = np.concatenate((found.linked[some], found.back[back], np.zeros(len(child), np.int64)))
         return pa.table({"a": longs(a), "b": longs(b), "w": longs(w)})
 
     keys = ["dim", "shard", "block"]
