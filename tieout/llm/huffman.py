@@ -237,7 +237,8 @@ def token_rows(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # input splits set the number of parts, so that a part stays of a split's size
     parts = max(1, slim.rdd.getNumPartitions())
-    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # texts of one doc_id, or of none, may go to several parts
+    ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def each(batches):
         held, at = encoder(path), 0
