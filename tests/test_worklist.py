@@ -6,6 +6,7 @@ import pytest
 
 from tieout.operators import worklist
 from tieout.operators.worklist import Conflict, Worklist
+from tieout.sources import sinks
 
 D = dt.date(2026, 1, 1)
 RAISED = "id string, source string, category string, amount long, currency string, value_date date, conf double, rationale string"
@@ -112,3 +113,14 @@ def test_pages(spark, tmp_path):
     assert worklist.total(items, search="UNPAID", status="", category="missing_in_bank") == 6
     with pytest.raises(ValueError):
         worklist.page(items, sort="rationale")
+
+
+def test_export(spark, tmp_path):
+    work = Worklist(spark, str(tmp_path / "w"))
+    work.record(*run_of(spark, ["e1", "e2"]), "r1")
+    work.assign(key(work, "e1"), 'kim "k"\nand co')
+    sinks.worklist_csv(worklist.page(work.items(), sort="amount"), f"file://{tmp_path}/out")
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))).decode("utf-8")
+    lines = text.removeprefix("\ufeff").split("\r\n")
+    assert text.startswith('\ufeff"fingerprint","entry_id"') and text.endswith("\r\n") and len(lines) == 4
+    assert '"e2","payment","missing_in_bank","1.02","INR"' in lines[1] and '"kim ""k""\nand co"' in lines[2]

@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.functions.scalars import minor_units
 from tieout.plans.engine import Result
 from tieout.sources.ingest import numbered
 from tieout.tables import cut
 
 
 def exceptions_csv(exceptions: DataFrame, path: str) -> None:
-    """SK4, SK7: seven columns, amounts in major units."""
+    """SK4: seven columns, amounts in major units."""
     out = exceptions.select("id", "source", "category", (F.col("amount") / 100).alias("amount"), "value_date", F.col("conf").alias("confidence"), F.replace(F.col("action"), F.lit(","), F.lit(";")).alias("action"))
     out.write.option("header", True).option("emptyValue", "").csv(path)
 
 
+#: Columns of the worklist's export.
+EXPORTED = ["fingerprint", "entry_id", "source", "category", "amount", "currency", "value_date", "priority", "status", "times_seen", "assignee", "rationale"]
+
+
+def worklist_csv(items: DataFrame, path: str) -> None:
+    """SK7: items, such as a page, as spreadsheets like them: a byte order mark, every field quoted, lines ended by CR LF, amounts in major units."""
+    amount = F.format_string("%.2f", F.col("amount") / F.coalesce(minor_units(F.col("currency")), F.lit(100)))
+    fields = [F.coalesce(amount if c == "amount" else F.col(c).cast("string"), F.lit("")) for c in EXPORTED]
+    quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in fields]
+    rows = items.select(F.lit(1).alias("n"), F.monotonically_increasing_id().alias("at"), F.concat_ws(",", *quoted).alias("value"))
+    head = items.sparkSession.range(1).select(F.lit(0).alias("n"), F.col("id").alias("at"), F.lit("\ufeff" + ",".join(f'"{c}"' for c in EXPORTED)).alias("value"))
+    head.unionByName(rows).orderBy("n", "at").select("value").write.option("lineSep", "\r\n").text(path)
+
+
 def entries_csv(entries: DataFrame, path: str) -> None:
     """SK5: entries by source, amounts as major units with two decimals."""
     text = entries.withColumn("amount", F.format_string("%.2f", F.col("amount") / 100))
