@@ -15,6 +15,7 @@ from .secrets import op3_secret_scan
 from .sentencepiece import op10_sentencepiece
 from .shards import op2_sharding
 from .simhash import op4_simhash_near_dedup
+from .spelling import ORACLE as SPELLING
 from .spelling import op11_spelling_variants
 from .suffixes import op6_suffix_array_dedup
 
@@ -38,4 +39,4 @@ QUERIES = {
 }
 
 #: The others can't be put as SQL in full; each has a brute-force version in the tests.
-ORACLES: dict[str, str] = {"op12_chat_formatting": CHAT, "op13_ranked_search": RANKING}
+ORACLES: dict[str, str] = {"op11_spelling_variants": SPELLING, "op12_chat_formatting": CHAT, "op13_ranked_search": RANKING}
