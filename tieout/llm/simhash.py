@@ -37,6 +37,8 @@ COPY_RADIUS = 23
 STARS = 2
 #: Documents of the sample that tells common shingles, and how many of these are told.
 SAMPLE = 32_768
+#: Bits of a text's number of shingles, and of a shingle's place, where they share a column.
+BITS = 29
 COMMON = 200_000
 
 
@@ -334,7 +336,7 @@ def _prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                 sizes.append(len(s))
                 fps.append(majority(h))
-                central.append(min(1 << 30, 100 * int(rank.sum()) // max(1, len(s))))
+                central.append((100 * int(rank.sum()) // max(1, len(s))).bit_length() & 31)
                 cells.append(histogram(s).astype("<u2" if len(s) < 65536 else "<u4").tobytes())
                 kept.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))
@@ -391,20 +393,24 @@ def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     fingerprints. So no pair is lost, and a large group of copies has joined up before pairs of it are made.
     """
     marked = cut(_prefixes(docs, rows), "prefixes")
-    probes = marked.select("_row", "n", "fp", "central", F.posexplode("prefix").alias("pos", "t"))
+    # 22 rows and more a text are shuffled, so three small numbers share a column
+    packed = F.shiftleft(F.col("central").cast("long"), 2 * BITS) + F.shiftleft("n", BITS)
+    probes = marked.select("_row", "fp", packed.alias("a"), F.posexplode("prefix").alias("pos", "t")).select("_row", "fp", (F.col("a") + F.col("pos")).alias("a"), "t")
     full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(probes.join(full, "t"), "buckets")
     held = cut(marked.select("_row", "n", "cells"), "histograms")
     discard(marked)
     del probes, full, marked, docs
     rows.sparkSession._jvm.System.gc()
+    low = F.lit((1 << BITS) - 1)
+    spread = buckets.select("t", "size", "_row", "fp", F.shiftright("a", 2 * BITS).alias("central"), F.shiftright("a", BITS).bitwiseAND(low).alias("n"), F.col("a").bitwiseAND(low).alias("pos"))
     edges, roots = None, None
     # a pair's first common shingle leaves as many in both sets, itself included, as the overlap of similarity 0.8
     alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
     for salt in range(STARS + 1):
-        now = buckets.withColumn("comp", F.col("_row"))
+        now = spread.withColumn("comp", F.col("_row"))
         if roots is not None:
-            now = buckets.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
+            now = spread.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
             mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
             now = now.join(mixed, "t", "left_semi")
         if salt < STARS:
