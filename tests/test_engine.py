@@ -51,6 +51,12 @@ def test_an_empty_batch(spark):
     assert result.groups.count() == result.exceptions.count() == 0
 
 
+def test_sweep_and_subsets():
+    assert dict(_sweep([1, 2, 2, 3], [7, 7, 8, 8], [True] * 4, True)) == {1: 7, 2: 8}
+    pool = [(i, a, [D]) for i, a in enumerate([100, 200, 300, 300])]
+    assert set(subset_options(pool, 300, 3)) == {(0, 1)} and len(subset_options(pool, 600, 3)) == 3
+
+
 def plain_sweep(rows, repeat):
     """Anchors in order, each linked when it sees exactly one open unit, in passes until one links nothing."""
     wishes, taken, links, again = {}, set(), {}, True

@@ -16,6 +16,7 @@ FAST = [
     "value_precision", "worklist_merge", "worklist_events", "worklist_page", "worklist_summary", "connected_components", "split_batch", "money_summary",
     "rate_card_override", "refused_deductions", "plausible_groups", "run_aggregate", "money_shares", "top_categories",
     "normalized_sources", "quality_branches", "referenced_pairs", "worklist_reopen", "queue_items",
+    "sql_functions", "gateway_entries", "torn_records", "reconcile_planted",
 ]
 
 
