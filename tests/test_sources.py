@@ -71,6 +71,16 @@ def test_preview(spark):
     assert ingest.preview(rows.drop("amount"), "payment")[1:] == (None, None)
 
 
+def test_legs_of_a_batch_are_compiled(spark):
+    """A function over the array of legs would be interpreted, with the whole array."""
+    from tieout.plans import queries
+    from tieout.sources import derived
+
+    for made in (derived.batch(spark, "/root/testdata/sf0.001"), queries._planted(spark, "/root/testdata/sf0.001")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(" in plan and "filter(array(" not in plan and "array_compact" not in plan
+
+
 def test_sql_functions_equal_the_columns(spark):
     from tieout.functions import scalars as fn
 
