@@ -210,6 +210,17 @@ def test_embeddings(spark):
     assert hnsw.near_vectors(bad.limit(0)).count() == 0
     assert hnsw.op7_embedding_near_dedup(spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
+def test_embedding_shards_are_small_and_hold_each_vector_once():
+    u = planted_vectors(3000, 64).astype(np.float32)
+    ids, one = np.arange(3000), np.ones(3000, np.int64)
+    held = hnsw.packed(u, ids, one)
+    assert len(held) < 3000 * (64 * 4 + 24 * 4 + 2 * 8 + 2 * 8)  # vector, neighbours, upper layers, number, weight
+    graph, v, again, weight = hnsw.unpacked(held)
+    whole = hnsw.Graph(hnsw._unit(u))
+    assert (v == hnsw._unit(u)).all() and (again == ids).all() and (weight == one).all() and (graph.v == whole.v).all() and (graph.layers[0] == whole.layers[0]).all()
+    for dim in (2, 64, 1024):
+        assert min(hnsw.SHARD_NODES, hnsw.SHARD_BYTES // (8 * dim)) * 8 * dim <= 16 << 20
+
 
 def test_quality(spark, odd):
     sf = SF.replace("sf0.001", "sf0.01")

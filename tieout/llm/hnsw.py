@@ -22,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import connected_components, cut, discard, longs
 
 SIMILARITY = 0.9
-#: Nodes and bytes of vectors of a shard at most, and shards at least, so that small tables still use several tasks.
-SHARD_NODES, SHARD_BYTES, SHARDS = 100_000, 96 << 20, 6
-QUERY_NODES = 32_768
+#: Nodes and bytes of vectors (in double precision) of a shard at most, and shards at least, so that small tables still use several tasks.
+SHARD_NODES, SHARD_BYTES, SHARDS = 32_768, 16 << 20, 6
+#: The same of the queries that a task asks of a shard.
+QUERY_NODES, QUERY_BYTES = 32_768, 16 << 20
 #: Similarities that a task holds at once.
 CELLS = 4 << 20
 DEGREE, BUILD_BEAM, BEAM = 12, 40, 24
@@ -251,12 +253,32 @@ def links_of(graph: Graph, v: np.ndarray, ids: np.ndarray, weight: np.ndarray, q
         beam *= 2
 
 
-def _unit(column) -> np.ndarray:
+def _rows(column) -> np.ndarray:
+    """An array of vectors as one, in the precision it came in."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(len(values), -1)
-    v = v / np.abs(v).max(axis=1, keepdims=True)  # neither overflow nor underflow in the norm
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    v = rows.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # neither overflow nor underflow in the norm
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v
+
+
+def packed(rows: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> bytes:
+    """A shard and its graph as bytes: each vector once, as it came; unit vectors are worked out again on arrival."""
+    graph = Graph(_unit(rows))
+    graph.v = None
+    return pickle.dumps((graph, rows, ids, weight), protocol=5)
+
+
+def unpacked(held) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """(graph, unit vectors, ids, weights) of :func:`packed` bytes."""
+    graph, rows, ids, weight = pickle.loads(held)
+    v = _unit(rows)
+    graph.v = v.astype(np.float32)[graph.order]
+    return graph, v, ids, weight
 
 
 def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -269,13 +291,14 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = cut(nodes, "nodes")
     total = nodes.count()
     widest = nodes.agg(F.max(F.size("v"))).first()[0] or 1
-    per_shard = max(1, min(SHARD_NODES, SHARD_BYTES // (8 * widest)))
-    shards, blocks = max(SHARDS, -(-total // per_shard)), max(1, -(-total // QUERY_NODES))
-    dealt = nodes.select("node", "weight", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    per_shard, per_block = (max(1, min(n, size // (8 * widest))) for n, size in ((SHARD_NODES, SHARD_BYTES), (QUERY_NODES, QUERY_BYTES)))
+    shards, blocks = max(SHARDS, -(-total // per_shard)), max(1, -(-total // per_block))
+    # vectors that came as floats travel as floats, which loses nothing
+    sent = F.col("v").cast("array<float>") if isinstance(getattr(table.schema["embedding"].dataType, "elementType", None), FloatType) else F.col("v")
+    dealt = nodes.select("node", "weight", sent.alias("v"), F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
-        v = _unit(group.column("v"))
-        held = pickle.dumps((Graph(v), v, group.column("node").to_numpy(), group.column("weight").to_numpy()), protocol=5)
+        held = packed(_rows(group.column("v")), group.column("node").to_numpy(), group.column("weight").to_numpy())
         return pa.table({"dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "graph": pa.array([held], pa.binary())})
 
     graphs = cut(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs", "none")
@@ -286,9 +309,9 @@ def near_vectors(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def query(graph: pa.Table, asked: pa.Table) -> pa.Table:
         a, b, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if graph.num_rows and asked.num_rows:
-            small_world, v, ids, weight = pickle.loads(graph.column("graph")[0].as_py())
+            small_world, v, ids, weight = unpacked(graph.column("graph")[0].as_buffer())
             me = asked.column("node").to_numpy()
-            found = links_of(small_world, v, ids, weight, _unit(asked.column("v")), me, asked.column("weight").to_numpy(), least)
+            found = links_of(small_world, v, ids, weight, _unit(_rows(asked.column("v"))), me, asked.column("weight").to_numpy(), least)
             some, back = np.flatnonzero(found.linked), np.flatnonzero(found.back)
             child, root = found.forest()
             a, b = np.concatenate((me[some], ids[back], child)), np.concatenate((me[some], ids[back], root))
