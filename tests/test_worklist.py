@@ -124,3 +124,15 @@ def test_export(spark, tmp_path):
     lines = text.removeprefix("\ufeff").split("\r\n")
     assert text.startswith('\ufeff"fingerprint","entry_id"') and text.endswith("\r\n") and len(lines) == 4
     assert '"e2","payment","missing_in_bank","1.02","INR"' in lines[1] and '"kim ""k""\nand co"' in lines[2]
+
+
+def test_merge_shuffles_no_joined_rows(spark):
+    """Covered entries are looked up before old and new items meet; what items become doesn't change."""
+    old = spark.createDataFrame([("f0", "e0", "open"), ("f1", "e1", "open"), ("f2", "e2", "resolved")], "fingerprint string, entry_id string, status string")
+    held = spark.createDataFrame([], worklist.ITEM).unionByName(old, allowMissingColumns=True).fillna(1, ["times_seen"])
+    items = spark.range(2, 4).selectExpr("concat('e', id) entry_id", "'payment' source", "'unknown' category", "id amount", "'INR' currency", "date '2026-01-01' value_date", "0.5D conf", "'x' rationale", "concat('f', id) fingerprint")
+    merged, _ = worklist.merge(held, items, spark.createDataFrame([("e0",), ("e3",)], "id string"), "r2")
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()  # top first
+    assert plan.index("Join FullOuter") < plan.index("Join LeftOuter")
+    got = {r.fingerprint: (r.status, r.times_seen) for r in merged.collect()}
+    assert got == {"f0": ("resolved", 1), "f1": ("open", 1), "f2": ("open", 2), "f3": ("open", 1)}

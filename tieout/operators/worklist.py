@@ -41,13 +41,15 @@ def queue_items(exceptions: DataFrame, groups: DataFrame, entries: DataFrame) ->
 def merge(worklist: DataFrame, items: DataFrame, entries: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
     """ST1 to ST3: (new worklist, events) after a run that raised ``items`` over ``entries``.
 
-    One full outer join by fingerprint and one semi-join by covered entry. New items open; seen ones are
-    counted and, if resolved, reopened; open ones that the run covered and didn't raise are resolved.
+    One lookup of covered entries by the old items, then one full outer join by fingerprint, in this order, so
+    that no row with both sides' columns is shuffled. New items open; seen ones are counted and, if resolved,
+    reopened; open ones that the run covered and didn't raise are resolved.
     """
     old = worklist.select(*[F.col(c).alias(f"o_{c}") for c in worklist.columns])
     new = items.select(*[F.col(c).alias(f"n_{c}") for c in items.columns])
     covered = entries.select(F.col("id").alias("c_id")).distinct()
-    j = old.join(new, F.col("o_fingerprint") == F.col("n_fingerprint"), "full_outer").join(covered, F.col("o_entry_id") == F.col("c_id"), "left")
+    old = old.join(covered, F.col("o_entry_id") == F.col("c_id"), "left")
+    j = old.join(new, F.col("o_fingerprint") == F.col("n_fingerprint"), "full_outer")
     is_new, seen = F.col("o_fingerprint").isNull(), F.col("o_fingerprint").isNotNull() & F.col("n_fingerprint").isNotNull()
     gone = F.col("n_fingerprint").isNull() & F.col("c_id").isNotNull() & F.col("o_status").isin("open", "investigating")
     event = F.when(is_new, "created").when(seen & (F.col("o_status") == "resolved"), "reopened").when(gone, "auto_resolved")
