@@ -260,6 +260,16 @@ def test_candidate_pairs_against_each_pair(spark, many_parts):
     assert set(map(tuple, got)) == want and len(got) == len(want) > 100
 
 
+def test_pairs_are_shuffled_by_entry_and_words_taken_once_an_entry(spark):
+    rows = [(f"e{i}", "bank" if i % 2 else "ledger", 10**6 + i, D, f"r{i}") for i in range(40)]
+    pairs = resolver.candidate_pairs(entries(spark, rows))
+    said = resolver.score(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in said
+    at = [line for line in said.splitlines() if "Generate explode" in line]
+    assert len(at) == 1 and "sequence(FLOOR" in at[0]  # one row a block of ranks rather than one a pair
+    assert pairs.count() == 400
+
+
 def plain_greedy(pairs):
     used, out = set(), set()
     for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
