@@ -224,6 +224,22 @@ def test_many_that_fit_a_day_are_counted_before_they_meet(spark):
     assert links.count() == ambiguous.count() == 0 and time.time() - began < 60
 
 
+def test_few_subsets_are_made_without_arrays(monkeypatch):
+    from tieout.operators import solver
+
+    rng = random.Random(9)
+    rules = []
+    for _ in range(300):
+        pool = [(i, rng.randint(1, 30), sorted({rng.randrange(2), rng.randrange(2)})) for i in range(rng.randint(1, 7))]
+        rules.append((pool, sum(a for _, a, _ in pool[: rng.randint(1, 4)]) + rng.choice([0, 0, 1, 3]), rng.choice([2, 4]), 2, 60, rng.choice([1, 8]), rng.choice([2, 5, 20, 400_000])))
+    monkeypatch.setattr(solver, "FEW", 0)
+    by_arrays = [subset_options(*r) for r in rules]
+    assert by_arrays == [plain_subsets(*r) for r in rules]
+    monkeypatch.undo()
+    monkeypatch.setattr(solver, "_summing", None)
+    assert [subset_options(*r) for r in rules] == by_arrays and any(by_arrays)
+
+
 def plain_pools(anchors, sales, lag, limit):
     out = {}
     for a, when, target in anchors:
