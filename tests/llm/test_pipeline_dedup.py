@@ -93,3 +93,42 @@ def test_a_column_named_like_the_row_number_is_kept(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 7, "k"), (2, "a b c d e f g", 8, "l"), (None, None, 9, "m")], "doc_id long, text string, _row long, root string")
     out = drop_near_duplicates(docs)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "a b c d e f g", 7, "k"), (None, None, 9, "m")]
+
+
+def test_simhash_links_come_first_and_are_checked(spark, monkeypatch):
+    """Near copies within the fingerprints' radius are pairs of SimHash; the prefix rounds find what it can't promise."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["x"])]
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(50)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    fps = simhash.fingerprints(docs.withColumnRenamed("_row", "doc_id"), simhash.COPY_SHINGLE).selectExpr("doc_id as _row", "fp")
+    near = {tuple(r) for r in simhash._fingerprint_pairs(fps).collect()}
+    bits = {r._row: r.fp for r in fps.collect()}
+    want = {(i, i + 1) for i in range(0, 24, 2) if bin((bits[i] ^ bits[i + 1]) & (2**64 - 1)).count("1") <= simhash.RADIUS}
+    assert near == want and len(near) > 6
+    met, real = [], simhash._plausible
+    monkeypatch.setattr(simhash, "_plausible", lambda pairs, held: (met.append({tuple(r) for r in pairs.collect()}), real(pairs, held))[1])
+    roots = {r.node: r.root for r in simhash.copy_components(docs, docs.selectExpr("_row", "_row as doc_id", "text")).collect()}
+    assert met[0] == want and roots == {i: i - i % 2 for i in range(24)}
+
+
+def test_pairs_of_a_large_group_that_is_only_partly_alike_do_not_grow_with_its_square(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base) for share in (0.005, 0.015, 0.02) for _ in range(100)]
+    rows = list(enumerate(texts))
+    made, real = [], simhash.cut
+
+    def cut(df, name, *more):
+        out = real(df, name, *more)
+        if name == "met":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == _brute(rows)
+    assert made[-1] < 20 * len(rows)

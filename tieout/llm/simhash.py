@@ -30,9 +30,8 @@ SHINGLE = 3
 TILE = 2048
 #: Cost of shuffling one signature, in comparisons.
 PROBE_COST = 300.0
-#: The pipeline's stage: words of a shingle, and bits within which pairs are compared first.
+#: The pipeline's stage: words of a shingle.
 COPY_SHINGLE = 5
-COPY_RADIUS = 23
 #: Rounds in which each text is compared with one text of each of its shingles, before all that are left.
 STARS = 2
 #: Documents of the sample that tells common shingles, and how many of these are told.
@@ -384,52 +383,73 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return edges
 
 
+def _fingerprint_pairs(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that SimHash links, RADIUS bits or fewer apart: a spanning forest of each bucket, and equal fingerprints with their first text."""
+    nodes = cut(held.groupBy("fp").agg(F.min("_row").alias("first")), "nodes")
+    same = held.join(nodes, "fp").where("_row <> first").select(F.col("first").alias("a"), F.col("_row").alias("b"))
+    of = lambda fp, c: nodes.select(F.col("fp").alias(fp), F.col("first").alias(c))
+    near = links(nodes.select("fp"), RADIUS).withColumnsRenamed({"a": "fa", "b": "fb"}).distinct()
+    near = near.join(of("fa", "x"), "fa").join(of("fb", "y"), "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near).distinct()
+
+
 def copy_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for each ``_row`` of ``docs``, those of ``rows`` with distinct texts, that some other one is like: similarity 0.8 or more, in one or more steps.
 
-    Texts that share a prefix shingle are compared, if their histograms allow it. At first each is
-    compared with one of its shingles' texts only, the one of the most common shingles (what copies were
-    made of, rather than one of them) and then one by hash, where fingerprints are within COPY_RADIUS; then with all that lie in other components by then, whatever their
-    fingerprints. So no pair is lost, and a large group of copies has joined up before pairs of it are made.
+    Texts whose fingerprints SimHash links come first, each link checked exactly. What a radius of
+    fingerprints can't promise follows: texts that share a prefix shingle are compared, if their histograms
+    allow it, at first each with one text of each of its shingles, the one of the most common shingles (what
+    copies were made of, rather than one of them) and then ones by hash, another for each shingle; then with
+    all that lie in other components by then, a pair in the first of a run of shingles only. So no pair is
+    lost, and a large group of copies has joined up before pairs of it are made.
     """
     marked = cut(_prefixes(docs, rows), "prefixes")
+    held = cut(marked.select("_row", "n", "fp", "cells"), "histograms")
+    edges, roots = None, None
+
+    def join_up(candidates: DataFrame) -> None:
+        nonlocal edges, roots
+        met = cut(candidates, "met")
+        pairs = cut(_plausible(met, held), "pairs")
+        discard(met)
+        found = _verified(pairs, rows)
+        discard(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        roots = cut(connected_components(edges), "roots")
+        rows.sparkSession._jvm.System.gc()  # Spark then deletes shuffle files that no plan uses
+
+    join_up(_fingerprint_pairs(held))
     # 22 rows and more a text are shuffled, so three small numbers share a column
     packed = F.shiftleft(F.col("central").cast("long"), 2 * BITS) + F.shiftleft("n", BITS)
-    probes = marked.select("_row", "fp", packed.alias("a"), F.posexplode("prefix").alias("pos", "t")).select("_row", "fp", (F.col("a") + F.col("pos")).alias("a"), "t")
-    full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
+    entry = F.transform("prefix", lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("prefix", i - 1), F.lit(0)).alias("prev")))
+    probes = marked.select("_row", packed.alias("a"), F.posexplode(entry).alias("pos", "e")).select("_row", (F.col("a") + F.col("pos")).alias("a"), "e.t", "e.prev")
+    full = probes.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
     buckets = cut(probes.join(full, "t"), "buckets")
-    held = cut(marked.select("_row", "n", "cells"), "histograms")
     discard(marked)
     del probes, full, marked, docs
     rows.sparkSession._jvm.System.gc()
     low = F.lit((1 << BITS) - 1)
-    spread = buckets.select("t", "size", "_row", "fp", F.shiftright("a", 2 * BITS).alias("central"), F.shiftright("a", BITS).bitwiseAND(low).alias("n"), F.col("a").bitwiseAND(low).alias("pos"))
-    edges, roots = None, None
+    spread = buckets.select("t", "prev", "_row", F.shiftright("a", 2 * BITS).alias("central"), F.shiftright("a", BITS).bitwiseAND(low).alias("n"), F.col("a").bitwiseAND(low).alias("pos"))
     # a pair's first common shingle leaves as many in both sets, itself included, as the overlap of similarity 0.8
     alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
     for salt in range(STARS + 1):
-        now = spread.withColumn("comp", F.col("_row"))
-        if roots is not None:
-            now = spread.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
-            mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-            now = now.join(mixed, "t", "left_semi")
+        now = spread.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("comp", F.coalesce("root", "_row")).drop("root")
+        mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("t", "size")
+        now = now.join(mixed, "t")
         if salt < STARS:
-            first = F.struct((-F.col("central") if salt == 0 else F.lit(0)).alias("c"), F.xxhash64("_row", F.lit(salt)).alias("h"))
-            head = now.groupBy("t").agg(F.min(F.struct(first.alias("first"), "_row", "n", "fp", "pos", "comp")).alias("y")).select("t", "y.*")
-            pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike} and bit_count(x.fp ^ y.fp) <= {COPY_RADIUS}")
+            # few shingles of its own before a common one: near to what the copies were made of, and alike to most of them if to any
+            rank = [-F.col("central"), F.call_function("div", 64 * F.col("pos"), F.col("n")), (18 * F.col("pos") > F.col("n")).cast("long")][min(salt, 2)]
+            first = F.struct(rank.alias("c"), (F.xxhash64("_row", F.lit(salt)) if salt < 2 else F.xxhash64("_row", "t", F.lit(salt))).alias("h"))
+            head = now.groupBy("t").agg(F.min(F.struct(first.alias("first"), "_row", "n", "pos", "comp")).alias("y")).select("t", "y.*")
+            pairs = now.alias("x").join(head.alias("y"), "t").where(f"x.comp <> y.comp and {alike}")
         else:
             tiled = now.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("r", F.pmod(F.xxhash64("_row", F.lit(7)), F.col("blocks")).cast("int"))
             tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("r", "o"), "j": F.greatest("r", "o")})
-            tiled = tiled.select("t", "i", "j", "r", "_row", "n", "pos", "comp")
-            pairs = tiled.alias("x").join(tiled.alias("y"), ["t", "i", "j"]).where(f"x.r = i and y.r = j and (i < j or x._row < y._row) and x.comp <> y.comp and {alike}")
-        met = cut(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct(), "met")
-        pairs = cut(_plausible(met, held), "pairs")
-        discard(met)
-        found = _verified(pairs, rows)
-        discard(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = cut(connected_components(edges), "roots")
-        rows.sparkSession._jvm.System.gc()  # Spark then deletes shuffle files that no plan uses
+            tiled = tiled.select("t", "i", "j", "r", "prev", "_row", "n", "pos", "comp")
+            # where the shingle before is the same in both, the pair has met there
+            new = "(x.pos = 0 or y.pos = 0 or x.prev <> y.prev)"
+            pairs = tiled.alias("x").join(tiled.alias("y"), ["t", "i", "j"]).where(f"x.r = i and y.r = j and (i < j or x._row < y._row) and x.comp <> y.comp and {new} and {alike}")
+        join_up(pairs.select(F.least("x._row", "y._row").alias("a"), F.greatest("x._row", "y._row").alias("b")).distinct())
     discard(buckets)
     discard(held)
     return roots
