@@ -1,8 +1,14 @@
 """Queries that once passed over a part of their input: the whole of it on inputs that the cut left out."""
 
 import datetime as dt
+import random
+
+from pyspark.sql import functions as F
 
 from tieout.plans.queries import QUERIES
+from tieout.schema import SOURCES, as_entries
+
+D = dt.date(2026, 1, 1)
 
 ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
 
@@ -14,3 +20,45 @@ def test_pairs_of_crowded_windows_are_scored(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["pair_scores"](spark, str(tmp_path)).select("a_id", "b_id").collect()]
     want = {frozenset((f"b{i}", f"l{j}")) for n in (range(60), range(60, 62)) for i in n for j in n}
     assert set(map(frozenset, got)) == want and len(got) == len(want) == 3604
+
+
+def test_a_run_works_out_what_is_asked_for(spark, monkeypatch):
+    """Refusals need no bank link, counts no category and no group."""
+    import pytest
+
+    from tieout.operators import exceptions, groups, settlement
+    from tieout.plans.engine import Result
+
+    def never(*_, **__):
+        raise AssertionError("not asked for")
+
+    kind = "id string, source string, amount long, value_date date, reference string, ord long"
+    rows = [("p1", "payment", 500, D, "A", 1), ("p2", "payment", 500, D, "B", 2), ("s1", "settlement", 500, D + dt.timedelta(2), "U", 3), ("b1", "bank", 77, D, None, 4)]
+    batch = as_entries(spark.createDataFrame(rows, kind).withColumns({"currency": F.lit("INR"), "fee": F.lit(0), "tax": F.lit(0)}))
+    result = Result(batch)
+    monkeypatch.setattr(groups, "groups", never)
+    monkeypatch.setattr(exceptions, "classify_residual", never)
+    monkeypatch.setattr(settlement, "link_banks", never)
+    assert [(r.rule, r.inputs) for r in result.refused.collect()] == [("ambiguous-single@v1", ["p1", "p2", "s1"])]
+    with pytest.raises(AssertionError):
+        _ = result.exceptions
+    monkeypatch.undo()
+    monkeypatch.setattr(groups, "groups", never)
+    monkeypatch.setattr(exceptions, "classify_residual", never)
+    assert tuple(result.metrics().select("entries", "exceptions", "matched").first()) == (4, 4, 0)
+    monkeypatch.undo()
+    assert result.exceptions.count() == 4 and result.conserved()
+
+
+def test_sale_units_equal_units(spark):
+    from tieout.operators.units import has, sale_units, units
+
+    rng = random.Random(8)
+    kind = "source string, amount long, value_date date, dispute string, ord long, comp long, currency string, id string, reference string"
+    rows = [(rng.choice(SOURCES), rng.choice([0, rng.randint(1, 900)]), D + dt.timedelta(rng.choice([0, 0, 0, 1, 5])), rng.choice([None, "lost", "open"]), i, rng.randrange(150), "INR", f"e{i}", "r") for i in range(500)]
+    rows = [(*r[:6], "USD" if r[5] % 3 else "INR", *r[7:]) for r in rows]
+    held = spark.createDataFrame(rows, kind)
+    shape = lambda df: sorted(tuple(r) for r in df.select("comp", "currency", "ord", "base_gross", "gross", F.array_sort("events").cast("string"), F.col("pay_dates").cast("string"), F.array_sort("dates").cast("string")).collect())
+    got, want = sale_units(held), units(held)
+    assert shape(got.where("sold")) == shape(want.where(has("payment") & ~has("settlement"))) != []
+    assert {r.comp for r in got.where("not sold").collect()} == {r.comp for r in want.where(has("settlement") & ~has("payment")).collect()} != set()
