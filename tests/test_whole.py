@@ -1,10 +1,13 @@
 """Queries that once passed over a part of their input: the whole of it on inputs that the cut left out."""
 
 import datetime as dt
+import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tieout.conf import Settings
 from tieout.plans.queries import QUERIES
 from tieout.schema import SOURCES, as_entries
 
@@ -62,3 +65,57 @@ def test_sale_units_equal_units(spark):
     got, want = sale_units(held), units(held)
     assert shape(got.where("sold")) == shape(want.where(has("payment") & ~has("settlement"))) != []
     assert {r.comp for r in got.where("not sold").collect()} == {r.comp for r in want.where(has("settlement") & ~has("payment")).collect()} != set()
+
+
+def test_every_option_against_brute_force(monkeypatch):
+    from tieout.operators import solver
+
+    rng = random.Random(14)
+    for i in range(300):
+        monkeypatch.setattr(solver, "HELD", rng.choice([0, 30, 10**6]))
+        n = rng.randint(2, 13)
+        pool = [(u, rng.randint(1, rng.choice([9, 60, 1000])), sorted(rng.sample(range(3), rng.randint(1, 2)))) for u in range(n)]
+        target, most = sum(a for _, a, _ in rng.sample(pool, rng.randint(2, min(n, 6)))) + rng.choice([0, 0, 1, 2, 4]), rng.choice([2, 4, 6])
+        days = [[(a, u) for u, a, at in pool if d in at] for d in range(3)]
+        want = {off: {frozenset(u for _, u in c) for d in days for k in range(2, most + 1) for c in itertools.combinations(d, k) if abs(sum(a for a, _ in c) - target) <= off} for off in (0, 2)}
+        held = [(np.array([u for _, u in sorted(d)], np.int64), np.array([a for a, _ in sorted(d)], np.int64), {}) for d in days]
+        got, exact, whole = solver.every_option(held, target, most, 2, 10**9)
+        assert whole and set(map(frozenset, got)) == (want[0] or want[2]) and len(got) == len(set(map(frozenset, got))) and exact == bool(want[0])
+        few, _, whole = solver.every_option(held, target, most, 2, 3)
+        assert whole == (len(got) <= 3) and len(few) == min(len(got), 4) and set(map(frozenset, few)) <= set(map(frozenset, got))
+
+
+def test_all_subsets_in_turns(spark):
+    """Windows of few amounts, so that options abound and are struck: the turns over all options of each anchor."""
+    from tieout.operators.solver import assign_all, every_option, propagate
+
+    rng = random.Random(15)
+    units, anchors, options = [], [], {}
+    for w in range(40):
+        start = D + dt.timedelta(10 * w)
+        own = [(100 * w + u, rng.randint(1, rng.choice([2, 3, 12, 300])), start) for u in range(rng.randint(3, 9))]
+        asked = [(10_000 + 100 * w + a, sum(v for _, v, _ in rng.sample(own, rng.randint(2, 3)))) for a in range(5)]
+        units += [(u, "INR", start, v, [start]) for u, v, _ in own]
+        anchors += [(a, "INR", start, t) for a, t in asked]
+        day = sorted((v, u) for u, v, _ in own)
+        held = [(np.array([u for _, u in day], np.int64), np.array([v for v, _ in day], np.int64), {})]
+        options |= {a: every_option(held, t, 4, 2, 10**9)[0] for a, t in asked}
+    want = propagate({a: o for a, o in options.items() if o})[0]
+    sent = spark.createDataFrame(anchors, "anchor long, currency string, start date, target long"), spark.createDataFrame(units, "unit long, currency string, start date, value long, days array<date>")
+    assert max(map(len, options.values())) > 8
+    for enough in (1, 8):
+        got = {}
+        for r in assign_all(*sent, 4, 2, enough).where("decided").collect():
+            got.setdefault(r.anchor, set()).add(r.unit)
+        assert got == {a: set(o) for a, o in want.items()} and len(got) > 20
+
+
+def test_subsets_of_large_pools(spark):
+    """A payout of two sales among 72 that it exceeds: more than 60 gave no subset."""
+    from tieout.operators.settlement import link_settlements
+
+    rows = [(f"p{i}", "payment", 10_000 + 1700 * i, D, i) for i in range(70)] + [("p70", "payment", 5_000_000, D, 70), ("p71", "payment", 5_000_100, D, 71), ("s", "settlement", 10_000_100, D + dt.timedelta(2), 1000)]
+    batch = as_entries(spark.createDataFrame(rows, "id string, source string, amount long, value_date date, ord long").withColumns({"reference": F.col("id"), "currency": F.lit("INR"), "fee": F.lit(0), "tax": F.lit(0)}))
+    batch = batch.withColumns({"comp": F.col("ord"), "ref": F.col("reference")})
+    pairs = lambda **limits: {(r.anchor, r.unit) for r in link_settlements(batch, Settings(**limits))[0].collect()}
+    assert pairs() == set() and pairs(pool=0) == {(1000, 70), (1000, 71)}
