@@ -119,3 +119,17 @@ def test_subsets_of_large_pools(spark):
     batch = batch.withColumns({"comp": F.col("ord"), "ref": F.col("reference")})
     pairs = lambda **limits: {(r.anchor, r.unit) for r in link_settlements(batch, Settings(**limits))[0].collect()}
     assert pairs() == set() and pairs(pool=0) == {(1000, 70), (1000, 71)}
+
+
+def test_row_checks_shuffle_once(spark):
+    from tieout.sources import ingest
+
+    rows = [("p1", "5.00", "2026-01-01", "r1"), ("p1", "6.00", "2026-01-01", "r1"), ("", "5.00", "2026-01-01", "r1"), ("", "5.00", "2026-01-01", "R1 "), ("", "5.00", "2026-01-01", ""), (None, "5.00", "2026-01-01", None), ("p2", "x", "2026-01-01", ""), ("p3", "5", "never", ""), ("ip1", "5", "2026-01-01", "")]
+    assessed = ingest.prepare(spark.createDataFrame(rows, "Id string, Amount string, Date string, Ref string"), "ledger")
+    got = [(r.accepted, [(i.field, i.problem) for i in r.issues]) for r in assessed.orderBy("_row").collect()]
+    again = [("reference", "exported twice")]
+    assert [g for g in got if g[0]] == [(True, []), (True, []), (True, again), (True, []), (True, []), (True, [])]
+    assert [g[1][0][1].split()[0] for g in got if not g[0]] == ["repeats", "not", "not"]
+    planned = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(planned(assessed)) == 1
+    assert len(planned(assessed.where("accepted").select("_row"))) == 1

@@ -33,39 +33,44 @@ def minor_amount() -> Column:
 def assess(rows: DataFrame, source: str) -> DataFrame:
     """QV1 to QV8: ``rows`` with ``issues``, ``empty`` and ``accepted``.
 
-    Rows without an id, or without a reference, get a key of their own in the windows, so that blanks
-    don't meet in one task.
+    A row with an id may only repeat an id, one with a reference alone only a whole row, so one window serves
+    both. Others get a key of their own, so that blanks don't meet in one task. What a row says by itself is
+    checked before rows are shuffled: where only ``accepted`` is asked for, its texts stay behind.
     """
     corrupt = F.col(CORRUPT) if CORRUPT in rows.columns else F.lit(None).cast("string")
     no_record = F.coalesce(corrupt == NO_RECORD, F.lit(False))
     empty = reduce(lambda a, b: a & b, [_blank(c) for c in CHECKED]) & F.col("amount_major").isNull() & ~no_record
     own = F.concat(F.lit("\0"), F.col("_row").cast("string"))
-    by_id = Window.partitionBy(F.when(_blank("id"), own).otherwise(F.trim("id"))).orderBy("_row")
     unnamed = _blank("id") & ~_blank("reference")
-    signature = F.when(unnamed, F.to_json(F.struct(F.coalesce("amount", F.col("amount_major").cast("string"), F.lit("")).alias("a"), F.coalesce("date", F.lit("")).alias("d"), F.lower(F.trim("reference")).alias("r")))).otherwise(own)
-    by_row = Window.partitionBy(signature).orderBy("_row")
+    signature = F.to_json(F.struct(F.coalesce("amount", F.col("amount_major").cast("string"), F.lit("")).alias("a"), F.coalesce("date", F.lit("")).alias("d"), F.lower(F.trim("reference")).alias("r")))
+    key = F.when(~_blank("id"), F.concat(F.lit("i"), F.trim("id"))).when(unnamed, F.concat(F.lit("r"), signature)).otherwise(own)
+    alike = Window.partitionBy("_key").orderBy("_row")
     minor, folded = minor_amount(), F.col("amount_major").isNotNull()
     no_amount = ~folded & _blank("amount")
     zero_text = F.trim("amount").isin("0", "0.0", "0.00")
     code = F.upper(F.trim("currency"))
-    marked = rows.withColumns({"_nth": F.row_number().over(by_id), "_first": F.first("_row").over(by_id)}).withColumn("_again", F.row_number().over(by_row))
+    bad_amount, huge = ~no_amount & ~folded & (minor == 0) & ~zero_text, F.abs(minor) > IMPLAUSIBLE
+    bad_date = ~_blank("date") & (parse_date(F.col("date")) == F.lit(NO_DATE).cast("date"))
+    wrong = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in (no_record, no_amount, bad_amount, huge, _blank("date"), bad_date)])
+    marked = rows.withColumns({"_key": key, "empty": empty, "_fine": ~empty & ~wrong, "_named": ~_blank("id")})
+    marked = marked.withColumns({"_nth": F.row_number().over(alike), "_first": F.first("_row").over(alike)})
+    repeats = F.col("_named") & (F.col("_nth") > 1)
     issues = F.array_compact(F.array(
         _issue(corrupt.isNotNull(), "row", "torn: not as many fields as headings", "warning"),
         _issue(no_amount, "amount", "missing", "error"),
-        _issue(~no_amount & ~folded & (minor == 0) & ~zero_text, "amount", "not a number", "error"),
-        _issue(F.abs(minor) > IMPLAUSIBLE, "amount", "implausibly large", "error"),
+        _issue(bad_amount, "amount", "not a number", "error"),
+        _issue(huge, "amount", "implausibly large", "error"),
         _issue((minor < 0) & F.lit(source in ("payment", "settlement", "refund", "chargeback")), "amount", "negative", "warning"),
         _issue(_blank("date"), "date", "missing", "error"),
-        _issue(~_blank("date") & (parse_date(F.col("date")) == F.lit(NO_DATE).cast("date")), "date", "not a date", "error"),
+        _issue(bad_date, "date", "not a date", "error"),
         _issue(~_blank("currency") & ~code.isin(list(MINOR_UNITS)) & ~code.isin(list(ALIASES)), "currency", "unknown, taken as INR", "warning"),
-        _issue(~_blank("id") & (F.col("_nth") > 1), "id", F.concat(F.lit("repeats row "), F.col("_first").cast("string")), "error"),
-        _issue(unnamed & (F.col("_again") > 1), "reference", "exported twice", "warning"),
+        _issue(repeats, "id", F.concat(F.lit("repeats row "), F.col("_first").cast("string")), "error"),
+        _issue(unnamed & (F.col("_nth") > 1), "reference", "exported twice", "warning"),
         _issue(_blank("payment_id") & F.lit(source in ("refund", "chargeback")), "payment_id", "names no payment", "warning"),
     ))
     issues = F.when(no_record, F.array(_issue(F.lit(True), "row", NO_RECORD, "error"))).otherwise(issues)
-    marked = marked.withColumn("empty", empty).withColumn("issues", F.when(F.col("empty"), F.array().cast("array<struct<field:string,problem:string,severity:string>>")).otherwise(issues))
-    bad = F.exists("issues", lambda i: i.severity == "error")
-    return marked.withColumn("accepted", ~F.col("empty") & ~bad).drop("_nth", "_first", "_again")
+    marked = marked.withColumn("issues", F.when(F.col("empty"), F.array().cast("array<struct<field:string,problem:string,severity:string>>")).otherwise(issues))
+    return marked.withColumn("accepted", F.col("_fine") & ~repeats).drop("_key", "_fine", "_named", "_nth", "_first")
 
 
 def summary(assessed: DataFrame) -> DataFrame:
